@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halyard.llm import bpe, chat, quality
+from halyard.llm import bpe, chat, decontaminate, quality, warc
 from halyard.llm.common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.result(table(spark, sf_dir, "pages"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversations(chat.with_probe(table(spark, sf_dir, "conversations")))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -25,8 +33,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_formatting, op4_byte_bpe, op5_quality_rules)}
+    return {f.__name__: f for f in (op1_warc, op2_chat_formatting, op3_decontamination, op4_byte_bpe, op5_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.ORACLE, "op5_quality_rules": quality.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op2_chat_formatting": chat.ORACLE, "op3_decontamination": decontaminate.ORACLE, "op5_quality_rules": quality.ORACLE}
