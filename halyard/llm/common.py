@@ -181,6 +181,29 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
         return mix64(out + _M(size))
 
 
+class BitFilter:
+    """A hashed set of fixed size: 2**bits bits, whatever went in; it lets some other hashes pass too."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.store = np.zeros(1 << (bits - 3), np.uint8)
+
+    def passing(self, h: np.ndarray) -> np.ndarray:
+        """Indexes of the 64-bit hashes that may have gone in."""
+        place = h.view(np.uint64) >> _M(64 - self.bits)
+        return np.flatnonzero(self.store[place >> _M(3)] >> (place & _M(7)).astype(np.uint8) & 1)
+
+
+def bit_filter(hashes: DataFrame, bits: int) -> BitFilter:
+    """A filter of the column ``h``, made by aggregation: the driver gets at most 2**(bits - 15) rows of 4 KB."""
+    place = F.shiftrightunsigned("h", 64 - bits)
+    rows = hashes.groupBy(F.shiftright(place, 15).cast("int").alias("b")).agg(F.bitmap_construct_agg((place % 32768).cast("long")).alias("bits")).collect()
+    out = BitFilter(bits)
+    for r in rows:
+        out.store[r["b"] * 4096 : (r["b"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def sql_words(expr: str, pattern: str) -> str:
     """DuckDB: list of matches of ``pattern`` in ``expr``."""
     return f"regexp_extract_all({expr}, '{pattern}')"

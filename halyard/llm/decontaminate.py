@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import Words, row_key, shingle_hashes, stage, steps
+from halyard.llm.common import Words, bit_filter, row_key, shingle_hashes, stage, steps
 
 WINDOW, SHINGLE = 13, 4
 FILTER_BITS = 23
@@ -49,21 +49,6 @@ def _item_windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
     return items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """Bits of the column ``h``: a filter of 2**FILTER_BITS bits, made by aggregation; at most 256 rows come to the driver."""
-    place = F.shiftrightunsigned("h", 64 - FILTER_BITS)
-    rows = hashes.groupBy(F.floor(place / 32768).cast("int").alias("b")).agg(F.bitmap_construct_agg((place % 32768).cast("long")).alias("bits")).collect()
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in rows:
-        out[r["b"] * 4096 : (r["b"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def _passing(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    place = h >> np.uint64(64 - FILTER_BITS)
-    return np.flatnonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
-
-
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, and ``found``: an array of (start, n, item_id), null where none.
 
@@ -74,7 +59,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
     windows = stage(_item_windows(items, window, shingle), "windows")
     shingles = windows.select("size", F.explode("hashes").alias("h")).distinct()
     sizes = [r["size"] for r in windows.select("size").distinct().orderBy("size").collect()]
-    bits = spark.sparkContext.broadcast(_bitmap(shingles))
+    bits = spark.sparkContext.broadcast(bit_filter(shingles, FILTER_BITS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
@@ -83,7 +68,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
                 w = Words(part.column("text"))
                 for size in sizes:
                     h = shingle_hashes(w.hash, size)
-                    values, n = np.unique(h[_passing(bits.value, h)], return_counts=True)
+                    values, n = np.unique(h[bits.value.passing(h)], return_counts=True)
                     for v, k in zip(values.view(np.int64).tolist(), n.tolist(), strict=True):
                         total[v] = total.get(v, 0) + k
             if len(total) > 1 << 17:
@@ -99,7 +84,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
     prefix = stage(ranked.agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "off")).alias("r")).select("item_id", "words", "n", "size", "r.df", "r.h", "r.off"), "prefix")
     # a shingle that no document holds leads nowhere
     prefix = prefix.where("df > 0")
-    need = spark.sparkContext.broadcast(_bitmap(prefix.select("h").distinct()))
+    need = spark.sparkContext.broadcast(bit_filter(prefix.select("h"), FILTER_BITS))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = pa.struct([("size", pa.int32()), ("h", pa.int64()), ("at", pa.int64()), ("lo", pa.int64()), ("around", pa.string())])
@@ -109,7 +94,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
                 found: list[list] = [[] for _ in range(part.num_rows)]
                 for size in sizes:
                     h = shingle_hashes(w.hash, size)
-                    at = _passing(need.value, h)
+                    at = need.value.passing(h)
                     at = at[w.doc[at] == w.doc[at + size - 1]] if len(at) else at
                     for i in at.tolist():
                         d = int(w.doc[i])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halyard.llm import bpe, chat, decontaminate, quality, warc
+from halyard.llm import bpe, chat, decontaminate, langid, lines, quality, warc
 from halyard.llm.common import table
 
 
@@ -32,8 +32,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.result(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.result(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.result(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_chat_formatting, op3_decontamination, op4_byte_bpe, op5_quality_rules)}
+    return {f.__name__: f for f in (op1_warc, op2_chat_formatting, op3_decontamination, op4_byte_bpe, op5_quality_rules, op8_line_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
