@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halyard.llm import bpe, chat, decontaminate, jaccard, langid, lines, quality, warc
+from halyard.llm import bpe, chat, decontaminate, html, jaccard, langid, lines, quality, substrings, warc
 from halyard.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.result(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.result(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -40,12 +44,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.result(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.result(table(spark, sf_dir, "pages"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.result(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_chat_formatting, op3_decontamination, op4_byte_bpe, op5_quality_rules, op7_jaccard_join, op8_line_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_warc, op2_chat_formatting, op3_decontamination, op4_byte_bpe, op5_quality_rules, op6_suffix_array_dedup, op7_jaccard_join, op8_line_dedup, op9_html_extraction, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
