@@ -259,9 +259,9 @@ def search(graphs: DataFrame, queries: list[tuple], k: int, ef: int | None = Non
     return knn._ranked(graphs.mapInPandas(run, "qid long, vid long, dist double"), k)
 
 
-def trace(graphs: DataFrame, queries: list[tuple], k: int, ef: int | None = None) -> DataFrame:
+def trace(graphs: DataFrame, queries: list[tuple], k: int, ef: int | None = None, kind: str = "long") -> DataFrame:
     """qid, shard, level, entry, visited, hops (array of from, to, dist) of each layer of each search."""
-    schema = "qid long, shard int, level int, entry long, visited long, hops array<struct<from long, to long, dist double>>"
+    schema = f"qid long, shard int, level int, entry {kind}, visited long, hops array<struct<from {kind}, to {kind}, dist double>>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:

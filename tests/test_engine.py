@@ -206,3 +206,35 @@ def test_stream_into_store(spark, tmp_path):
     assert s.sizes() == {"live": 4, "deleted": 8}
     s.close(checkpoint=True)
     assert VectorStore(spark, f"file://{tmp_path}/store").live().count() == 4
+
+
+def test_http_routes(spark, tmp_path):
+    import json
+    import urllib.error
+    import urllib.request
+
+    from halyard.server import Server
+
+    s = VectorStore(spark, f"file://{tmp_path}/store", dim=2, metric="euclidean")
+    server = Server(s, port=0)
+
+    def call(method, path, body=None):
+        data = json.dumps(body).encode() if body is not None else None
+        try:
+            with urllib.request.urlopen(urllib.request.Request(server.url + path, data, method=method)) as r:
+                return r.status, json.loads(r.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    rows = [{"id": "é/1", "vec": [0, 1]}, {"id": "b", "vec": [3, 4]}, {"id": "b", "vec": [3, 3]}]
+    assert call("POST", "/vectors", {"vectors": rows}) == (200, {"upserted": 3, "count": 2})
+    assert call("GET", "/vectors/%C3%A9%2F1") == (200, {"id": "é/1", "vec": [0.0, 1.0]})
+    status, found = call("POST", "/search", {"vec": [0, 0], "k": 1, "trace": True})
+    assert status == 200 and found["results"] == [{"id": "é/1", "dist": 1.0}] and found["trace"][-1]["level"] == 0
+    assert call("POST", "/search", {"vec": [0]})[0] == 400 and call("POST", "/vectors", {"vectors": 1})[0] == 400
+    assert call("DELETE", "/vectors/b") == (200, {"removed": True}) and call("DELETE", "/vectors/b") == (200, {"removed": False})
+    assert call("GET", "/vectors/b")[0] == 404 and call("GET", "/nowhere")[0] == 404
+    assert call("POST", "/checkpoint") == (200, {"ok": True}) and call("GET", "/stats")[1]["deleted"] == 2
+    assert call("GET", "/healthz") == (200, {"ok": True, "count": 1})
+    server.close()
+    s.close()
