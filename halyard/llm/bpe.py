@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -272,7 +273,9 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                got = [decode_one(x) if x else b"" for x in part.column(ids).to_pylist()]
+                lists = part.column(ids)
+                flat, ends = lists.flatten().to_numpy().tolist(), np.cumsum(pc.fill_null(pc.list_value_length(lists), 0)).tolist()
+                got = [decode_one(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(got, pa.binary())], names=[*keep, out])
 
     return df.mapInArrow(run, schema)
