@@ -29,9 +29,17 @@ from halyard.llm.common import NONSPACE, _ODD, Words, bit_filter, drop_staged, m
 from halyard.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
-BITS, HASHES, FILTER_BITS = 1024, 6, 24
+LEAST_BITS, MOST_BITS, HASHES, FILTER_BITS = 512, 1 << 15, 6, 24
+#: Hubs of a large group, and rounds with other hubs each.
+HUBS, HUB_ROUNDS = 16, 2
+#: Groups of more rows are cut into size bands.
+BANDED = 512
+#: Tiles of more rows than SMALL are compared block by block, smaller ones many at once.
 #: A shingle is frequent from this share of the documents (and this count) on: their number is bounded by the
 #: mean set size over the share, whatever the size of the corpus.
+SMALL = 64
+#: Pairs of one family that are compared in one task.
+FAMILY_PAIRS = 20_000
 FREQUENT_SHARE, FREQUENT_LEAST = 2e-4, 32
 #: Shingles counted in a worker at once; those met once are forgotten beyond it.
 COUNTED = 1 << 21
@@ -50,8 +58,12 @@ class Sets:
         if len(short):
             own = np.array([shingle_hashes(w.hash[w.first[d] : w.first[d + 1]], int(counts[d]))[0] for d in short.tolist()], np.uint64)
             h, doc = np.concatenate([h, own]), np.concatenate([doc, short])
-        order = np.lexsort((h, doc))
-        h, doc = h[order], doc[order]
+        if len(short):
+            order = np.argsort(doc, kind="stable")
+            h, doc = h[order], doc[order]
+        first = np.searchsorted(doc, np.arange(n + 1)).tolist()
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            h[a:b].sort()
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
         self.h, self.doc = h[new], doc[new]
@@ -63,6 +75,40 @@ class Sets:
         return np.array([xxhash.xxh3_64_intdigest(data[8 * a : 8 * b], seed) for a, b in zip(self.first[:-1], self.first[1:], strict=True)], np.uint64).view(np.int64)
 
 
+def _bitmap(h: np.ndarray) -> bytes:
+    """Bits at the low ends of the hashes: eight to sixteen for each shingle, a power of two in all."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << int(8 * len(h)).bit_length()))
+    bits = np.zeros(size, bool)
+    bits[(h & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """Bitmaps of several sizes; two are compared at the smaller size, to which the larger is folded."""
+
+    def __init__(self, col):
+        rows = col.to_pylist()
+        self.size = np.array([len(b) // 8 for b in rows], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.words = np.frombuffer(b"".join(rows), np.uint64)
+
+    def _at(self, rows: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros((len(rows), size), np.uint64)
+        for own in np.unique(self.size[rows]).tolist():
+            pick = np.flatnonzero(self.size[rows] == own)
+            full = self.words[self.begin[rows[pick]][:, None] + np.arange(own)]
+            out[pick] = np.bitwise_or.reduce(full.reshape(len(pick), own // size, size), axis=1)
+        return out
+
+    def differ(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Bits in which rows p and q differ."""
+        out, least = np.zeros(len(p), np.int64), np.minimum(self.size[p], self.size[q])
+        for size in np.unique(least).tolist():
+            for pick in np.array_split(np.flatnonzero(least == size), 1 + int((least == size).sum()) * size // (1 << 18)):
+                out[pick] = np.bitwise_count(self._at(p[pick], size) ^ self._at(q[pick], size)).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def _describe(docs: DataFrame, size: int, kind: np.ndarray, seed: int) -> DataFrame:
     """doc_id, key, n, name of the set, a second digest, its minimum hashes and its bitmap."""
     kinds = dict(docs.dtypes)["doc_id"]
@@ -77,13 +123,11 @@ def _describe(docs: DataFrame, size: int, kind: np.ndarray, seed: int) -> DataFr
                 with np.errstate(over="ignore"):
                     for k in range(HASHES if len(some) else 0):
                         least[some, k] = np.minimum.reduceat(mix64(s.h ^ (_ODD * np.uint64(2 * k + 3))), s.first[some])
-                bits = np.zeros((m, BITS), bool)
-                bits[s.doc, (s.h & np.uint64(BITS - 1)).astype(np.int64)] = True
-                packed = np.packbits(bits, axis=1)
                 data = s.h.tobytes()
+                packed = [_bitmap(s.h[a:b]) for a, b in zip(s.first[:-1].tolist(), s.first[1:].tolist(), strict=True)]
                 check = [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in zip(s.first[:-1], s.first[1:], strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * HASHES, pa.int32()), pa.array(least.view(np.int64).ravel()))
-                cols = [part.column("doc_id"), part.column("key"), pa.array(np.diff(s.first), pa.int64()), pa.array(s.names(seed)), pa.array(check, pa.binary()), lists, pa.array([r.tobytes() for r in packed], pa.binary())]
+                cols = [part.column("doc_id"), part.column("key"), pa.array(np.diff(s.first), pa.int64()), pa.array(s.names(seed)), pa.array(check, pa.binary()), lists, pa.array(packed, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
 
     return docs.select("doc_id", "key", "text").mapInArrow(run, schema)
@@ -121,7 +165,7 @@ def _frequent(docs: DataFrame, size: int, kind: np.ndarray, n_docs: int) -> tupl
 
 
 def _shared_prefixes(docs: DataFrame, size: int, kind: np.ndarray, percent: int, seed: int, frequent) -> DataFrame:
-    """token, name for each prefix shingle that at least two classes have.
+    """token, name for each group of at least two classes that share a prefix shingle; token names the group.
 
     Tokens travel packed, a row per bucket and a million tokens, and are sorted by numpy where they meet.
     """
@@ -152,7 +196,8 @@ def _shared_prefixes(docs: DataFrame, size: int, kind: np.ndarray, percent: int,
                 if len(often):
                     at = np.minimum(np.searchsorted(often, s.h), len(often) - 1)
                     last = np.where(often[at] == s.h, df[at], 0)
-                rank = np.lexsort((s.h, last, s.doc))
+                # within a document frequent shingles go last; hashes are in order already
+                rank = np.argsort(s.doc << 40 | last, kind="stable")
                 n = np.diff(s.first)
                 length = n - (percent * n + 99) // 100 + 1
                 inside = np.arange(len(s.h)) - s.first[s.doc]
@@ -169,18 +214,20 @@ def _shared_prefixes(docs: DataFrame, size: int, kind: np.ndarray, percent: int,
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def several(parts):
             pair = np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2)
-            by = np.lexsort((pair[:, 1], pair[:, 0]))
-            pair = pair[by]
+            token, name = pair[:, 0], pair[:, 1]
+            by = np.argsort(token)
+            pair = pair[by[_together(token[by])]]
+            pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
             new = np.ones(len(pair), bool)
             new[1:] = (pair[1:] != pair[:-1]).any(axis=1)
             pair = pair[new]
-            token = pair[:, 0]
-            same = token[1:] == token[:-1]
-            many = np.zeros(len(pair), bool)
-            many[1:] |= same
-            many[:-1] |= same
-            pair = np.ascontiguousarray(pair[many].T).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["token", "name"])
+            token, name = pair[_together(pair[:, 0])].T
+            # tokens met by the same classes are one: the name of a group is a hash of its members
+            head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+            with np.errstate(over="ignore"):
+                group = mix64(np.add.reduceat(mix64(name), head)) if len(head) else name
+            group = np.repeat(group, np.diff(np.append(head, len(token))))
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(group).view(np.int64)), pa.array(np.ascontiguousarray(name).view(np.int64))], names=["token", "name"])
 
         now, parts = None, []
         for batch in batches:
@@ -194,12 +241,54 @@ def _shared_prefixes(docs: DataFrame, size: int, kind: np.ndarray, percent: int,
             yield several(parts)
 
     sent = docs.select("text").mapInArrow(emit, "bucket int, pairs binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "token long, name long")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "token long, name long").distinct()
+
+
+def _together(x: np.ndarray) -> np.ndarray:
+    """True for the values of a sorted array that aren't alone."""
+    out = np.zeros(len(x), bool)
+    same = x[1:] == x[:-1]
+    out[1:] |= same
+    out[:-1] |= same
+    return out
+
+
+def _fitting(bits: Bitmaps, n, p, q, percent: int) -> np.ndarray:
+    """Which pairs (p, q) may meet the threshold: every bit in which bitmaps differ is a shingle that only one has."""
+    total = n[p] + n[q]
+    overlap = (total - bits.differ(p, q)) // 2
+    return 100 * overlap >= percent * (total - overlap)
+
+
+def _near_pairs(tile, name, comp, n, bits, home, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of many small tiles at once: rows are in order of tile and size, and are compared with the d-th next."""
+    left = np.arange(len(n))
+    for d in range(1, len(n)):
+        left = left[left + d < len(n)]
+        left = left[(tile[left] == tile[left + d]) & (100 * n[left] >= percent * n[left + d])]
+        if not len(left):
+            return
+        p = left[(comp[left] != comp[left + d]) & (home[left] | home[left + d])]
+        fit = _fitting(bits, n, p, p + d, percent)
+        if fit.any():
+            yield name[p[fit]], name[p[fit] + d]
+
+
+def _hub_pairs(name, comp, n, bits, home, percent: int, salt: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one tile with one of its HUBS rows of least salted hash; rows are in order of size."""
+    with np.errstate(over="ignore"):
+        order = np.argsort(mix64(name.view(np.uint64) ^ (_ODD * np.uint64(salt + 1))))
+    for h in order[:HUBS].tolist():
+        lo, hi = np.searchsorted(n, [-(-percent * n[h] // 100), n[h] * 100 // percent + 1])
+        q = np.arange(lo, hi)
+        q = q[(comp[q] != comp[h]) & (home[q] | home[h])]
+        q = q[_fitting(bits, n, np.full(len(q), h), q, percent)]
+        if len(q):
+            yield np.full(len(q), name[h]), name[q]
 
 
 def _tile_pairs(name, comp, n, bits, home, percent: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of one tile whose bitmaps leave the threshold possible; rows are in order of size."""
-    words = bits.view(np.uint64)
     for i in range(0, len(n), block):
         a = slice(i, i + block)
         # sizes rise: blocks whose least size is too large for this block's largest end the row of blocks
@@ -212,43 +301,83 @@ def _tile_pairs(name, comp, n, bits, home, percent: int, block: int = 256) -> It
             x, y = np.nonzero(ok)
             for lo in range(0, len(x), 1 << 15):
                 p, q = x[lo : lo + (1 << 15)] + i, y[lo : lo + (1 << 15)] + j
-                differ = np.bitwise_count(words[p] ^ words[q]).sum(axis=1, dtype=np.int64)
-                total = n[p] + n[q]
-                overlap = (total - differ) // 2
-                fit = 100 * overlap >= percent * (total - overlap)
+                fit = _fitting(bits, n, p, q, percent)
                 if fit.any():
                     yield name[p[fit]], name[q[fit]]
 
 
-def _candidates(met: DataFrame, about: DataFrame, comps: DataFrame | None, percent: int) -> DataFrame:
-    """Distinct (a, b) with a < b: classes not tied yet that share a prefix shingle and pass the bitmap bound."""
+def _bounded(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and bitmaps leave the threshold possible."""
+    one, two = (about.select(F.col("name").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in ("a", "b"))
+    full = pairs.join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.num_rows
+            bits = Bitmaps(pa.chunked_array([batch.column("bitsa"), batch.column("bitsb")]))
+            n = np.concatenate([batch.column("na").to_numpy(), batch.column("nb").to_numpy()])
+            ok = _fitting(bits, n, np.arange(m), np.arange(m) + m, percent) if m else np.zeros(0, bool)
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return full.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long")
+
+
+def _candidates(met: DataFrame, about: DataFrame, comps: DataFrame | None, percent: int, hubs: int | None = None) -> DataFrame:
+    """Distinct (a, b) with a < b: classes not tied yet that share a prefix shingle and pass the bitmap bound.
+
+    With ``hubs``, a number that salts their choice, only pairs with one of a few hubs of each large group: these
+    tie most of it together at a cost in proportion to its size, and leave little to the complete round.
+    """
     c = met.withColumn("comp", F.col("name")) if comps is None else met.join(comps.withColumnRenamed("node", "name"), "name", "left").withColumn("comp", F.coalesce("comp", "name"))
     c = stage(c, "met")
-    apart = c.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
+    apart = c.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo != hi").select("token", "rows")
+    if hubs is not None:
+        apart = apart.where(F.col("rows") > SMALL)
+    # small groups are one tile; a large one has a tile for each size band, with the band below as visitors
+    large = F.col("rows") > BANDED
     band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent))) + 1e-9).cast("int")
-    full = c.join(apart, "token").join(about, "name").withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band + F.col("side"))
+    full = c.join(apart, "token").join(about, "name").withColumn("side", F.explode(F.when(large, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).withColumn("band", F.when(large, band + F.col("side")).otherwise(-1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows):
+        def pairs(rows, alone):
             t = pa.Table.from_batches(rows)
-            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(len(t), -1)
-            name, comp, n, home = (t.column(k).to_numpy() for k in ("name", "comp", "n", "side"))
-            for a, b in _tile_pairs(name, comp, n, bits, home == 0, percent):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-        held, now = [], None
+            bits = Bitmaps(t.column("bits"))
+            name, comp, n, side, token, b = (t.column(k).to_numpy() for k in ("name", "comp", "n", "side", "token", "band"))
+            if hubs is not None:
+                found = _hub_pairs(name, comp, n, bits, side == 0, percent, hubs)
+            elif alone:
+                found = _tile_pairs(name, comp, n, bits, side == 0, percent)
+            else:
+                tile = np.cumsum(np.concatenate([[True], (token[1:] != token[:-1]) | (b[1:] != b[:-1])]))
+                found = _near_pairs(tile, name, comp, n, bits, side == 0, percent)
+            # the same classes meet in several tiles
+            found = [np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1) for a, b in found]
+            if found:
+                a, b = np.unique(np.concatenate(found), axis=0).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        # tiles of up to SMALL rows gather until a few thousand rows are held; a larger tile is done alone
+        held, size, tile, rows, now = [], 0, [], 0, None
         for batch in batches:
             token, b = batch.column("token").to_numpy(), batch.column("band").to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (b[1:] != b[:-1])])) if len(token) else []
-            for k, lo in enumerate(cuts):
-                hi = cuts[k + 1] if k + 1 < len(cuts) else len(token)
-                if held and now != (token[lo], b[lo]):
-                    yield from pairs(held)
-                    held = []
-                now = (token[lo], b[lo])
-                held.append(batch.slice(int(lo), int(hi - lo)))
-        if held:
-            yield from pairs(held)
+            cuts = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (b[1:] != b[:-1])])).tolist() if len(token) else []
+            for lo, hi in zip(cuts, [*cuts[1:], len(token)], strict=True):
+                if now != (token[lo], b[lo]):
+                    if rows > SMALL:
+                        yield from pairs(tile, True)
+                    elif rows > 1:
+                        held, size = held + tile, size + rows
+                        if size > 4096:
+                            yield from pairs(held, False)
+                            held, size = [], 0
+                    tile, rows, now = [], 0, (token[lo], b[lo])
+                tile.append(batch.slice(lo, hi - lo))
+                rows += hi - lo
+        if rows > SMALL:
+            yield from pairs(tile, True)
+            tile = []
+        if held or len(tile):
+            yield from pairs(held + tile, False)
 
     tiles = full.select("token", "band", "name", "comp", "n", "side", "bits").repartition("token", "band").sortWithinPartitions("token", "band", "n", "name")
     return tiles.mapInArrow(run, "a long, b long").distinct()
@@ -262,6 +391,8 @@ def _links(pairs: DataFrame, docs: DataFrame, leads: DataFrame, size: int, kind:
     """
     spark = docs.sparkSession
     pairs = stage(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
     names = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
     keys = leads.join(names, "name").select(F.xxhash64("key").alias("h"), "key", "name")
     keys = stage(keys, "keys")
@@ -280,18 +411,38 @@ def _links(pairs: DataFrame, docs: DataFrame, leads: DataFrame, size: int, kind:
     sets = docs.select("key", F.xxhash64("key").alias("h"), "text").mapInArrow(arrays, "key string, set binary")
     sets = stage(sets.join(keys.select("key", "name"), "key").select("name", "set").dropDuplicates(["name"]), "sets")
 
+    # pairs of a family (a component of the pairs) meet in one task, where each of its arrays goes once; a
+    # family of very many pairs is dealt out by their first class
+    family = components(pairs)
+    tied = pairs.join(family.select(F.col("node").alias("a"), "comp"), "a")
+    counts = tied.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+    tied = stage(tied.join(counts, "comp").select("comp", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / FAMILY_PAIRS)).alias("sub"), "a", "b"), "tied")
+    members = tied.select("comp", "sub", F.col("a").alias("name")).union(tied.select("comp", "sub", "b")).distinct()
+    nothing = F.lit(None).cast("binary")
+    rows = members.join(sets, "name").select("comp", "sub", F.lit(0).alias("kind"), F.col("name").alias("a"), F.col("name").alias("b"), "set")
+    rows = rows.unionByName(tied.select("comp", "sub", F.lit(1).alias("kind"), "a", "b", nothing.alias("set")))
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, arrays = None, {}
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    full = pairs.join(sets.select(F.col("name").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("name").alias("b"), F.col("set").alias("y")), "b")
-    links = stage(full.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "verified")
+            a, b = [], []
+            cols = [batch.column(c).to_pylist() for c in ("comp", "sub", "kind", "a", "b", "set")]
+            for comp, sub, k, x, y, data in zip(*cols, strict=True):
+                if (comp, sub) != now:
+                    now, arrays = (comp, sub), {}
+                if not k:
+                    arrays[x] = np.frombuffer(data, np.uint64)
+                    continue
+                p, q = arrays[x], arrays[y]
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                if 100 * both >= percent * (len(p) + len(q) - both):
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    met = rows.repartition("comp", "sub").sortWithinPartitions("comp", "sub", "kind")
+    links = stage(met.mapInArrow(compare, "a long, b long"), "verified")
+    drop_staged(tied)
     for old in (sets, keys, pairs):
         drop_staged(old)
     return links
@@ -320,14 +471,17 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, kind: np.
     least = classes.select("name", F.posexplode("least").alias("k", "m"))
     leaders = least.groupBy("k", "m").agg(F.min("name").alias("a"), F.max("name").alias("last")).where("a != last")
     stars = least.join(leaders.select("k", "m", "a"), ["k", "m"]).where("a != name").select("a", F.col("name").alias("b")).distinct()
-    links = _links(stars, keyed, classes.select("name", "key"), size, kind, percent, seed)
+    links = _links(_bounded(stars, classes.select("name", "n", "bits"), percent), keyed, classes.select("name", "key"), size, kind, percent, seed)
     comps = components(links)
 
     frequent = _frequent(keyed, size, kind, n_docs)
     met = _shared_prefixes(keyed, size, kind, percent, seed, frequent)
-    more = _candidates(met, classes.select("name", "n", "bits"), comps, percent)
-    rest = _links(more, keyed, classes.select("name", "key"), size, kind, percent, seed)
-    comps = components(links.unionByName(rest))
+    met = stage(met, "met")
+    for salt in (*range(HUB_ROUNDS), None):
+        more = _links(_candidates(met, classes.select("name", "n", "bits"), comps, percent, salt), keyed, classes.select("name", "key"), size, kind, percent, seed)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comps = components(links)
 
     rows = about.select("doc_id", "n", "name").join(comps.withColumnRenamed("node", "name"), "name", "left").withColumn("comp", F.coalesce("comp", "name"))
     smallest = rows.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
