@@ -29,7 +29,7 @@ class Ranks:
 
     @staticmethod
     def _dense(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         out = np.empty(len(key), np.int64)
         out[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]) + 1 if len(key) else []
@@ -65,13 +65,14 @@ def suffix_array(symbols: np.ndarray, depth: int, ranks: Ranks | None = None) ->
     ranks = ranks or Ranks(symbols, depth)
     small = types(symbols)
     own = np.flatnonzero(small)
-    own = own[np.argsort(ranks.key(depth)[own], kind="stable")]
-    values, sym = np.unique(symbols, return_inverse=True)
-    size = np.bincount(sym, minlength=len(values))
+    own = own[np.argsort(ranks.key(depth)[own])]
+    # symbols are small numbers from 0 on
+    sym = symbols
+    size = np.bincount(sym)
     ends = np.cumsum(size)
     sa = np.full(n, -1, np.int64)
     of = sym[own]
-    count = np.bincount(of, minlength=len(values))
+    count = np.bincount(of, minlength=len(size))
     sa[np.arange(len(own)) - (np.cumsum(count) - count)[of] + (ends - count)[of]] = own
     head, where, large, order = (ends - size).tolist(), sym.tolist(), (~small).tolist(), sa.tolist()
     # the empty suffix comes first of all and induces the last one
@@ -87,24 +88,33 @@ def suffix_array(symbols: np.ndarray, depth: int, ranks: Ranks | None = None) ->
     return np.asarray(order, np.int64)
 
 
-def adjacent_prefixes(sa: np.ndarray, symbols: np.ndarray, ranks: Ranks, depth: int) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in ``sa``, counted up to ``depth``; 0 for the first."""
+def adjacent_prefixes(sa: np.ndarray, symbols: np.ndarray, ranks: Ranks, depth: int, least: int = 0) -> np.ndarray:
+    """Common prefix of each suffix with the one before it in ``sa``, counted up to ``depth``; 0 for the first.
+
+    Prefixes that differ within the widest rank are only counted if ``least`` is within it too; else they are 0.
+    """
     n = len(sa)
-    a, b, out = sa[:-1].copy(), sa[1:].copy(), np.zeros(max(0, n - 1), np.int64)
+    out = np.zeros(n, np.int64)
+    pick = np.arange(1, n)
+    if least > ranks.widths[-1]:
+        pick = pick[ranks.ranks[-1][sa[1:]] == ranks.ranks[-1][sa[:-1]]]
+    a, b = sa[pick - 1].copy(), sa[pick].copy()
     for width, rank in [*zip(ranks.widths, ranks.ranks, strict=True)][::-1]:
         for _ in range(2 if width == ranks.widths[-1] else 1):
             ok = (np.maximum(a, b) + width <= n) & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)])
-            out, a, b = out + width * ok, a + width * ok, b + width * ok
+            out[pick] += width * ok
+            a, b = a + width * ok, b + width * ok
     for _ in range(ranks.widths[0] - 1):
         ok = (np.maximum(a, b) < n) & (symbols[np.minimum(a, n - 1)] == symbols[np.minimum(b, n - 1)])
         if not ok.any():
             break
-        out, a, b = out + ok, a + ok, b + ok
-    return np.concatenate([[0], np.minimum(out, depth)])[:n]
+        out[pick] += ok
+        a, b = a + ok, b + ok
+    return np.minimum(out, depth)
 
 
-def repeated(symbols: np.ndarray, depth: int, owner: np.ndarray | None = None) -> np.ndarray:
-    """True where the next ``depth`` symbols also start at another place (of another ``owner``, if given).
+def repeated(symbols: np.ndarray, depth: int, owner: np.ndarray | None = None, owners: int = 2) -> np.ndarray:
+    """True where the next ``depth`` symbols also start at another place (at places of ``owners`` different owners, if given).
 
     Symbol 0 separates texts: what would run over one is never repeated.
     """
@@ -116,17 +126,15 @@ def repeated(symbols: np.ndarray, depth: int, owner: np.ndarray | None = None) -
     sa = suffix_array(symbols, depth, ranks)
     stops = np.append(np.flatnonzero(symbols == 0), n)
     whole = stops[np.searchsorted(stops, np.arange(n))] - np.arange(n) >= depth
-    lcp = adjacent_prefixes(sa, symbols, ranks, depth)
+    lcp = adjacent_prefixes(sa, symbols, ranks, depth, depth)
     # runs of suffixes that share their first depth symbols
     joined = np.concatenate([lcp[1:] >= depth, [False]])
     run = np.concatenate([[0], np.cumsum(~joined[:-1])])
     if owner is None:
         many = np.bincount(run)[run] > 1
     else:
-        o = owner[sa]
-        lo, hi = np.full(run[-1] + 1, np.iinfo(np.int64).max), np.full(run[-1] + 1, -1)
-        np.minimum.at(lo, run, o)
-        np.maximum.at(hi, run, o)
-        many = (lo != hi)[run]
+        # distinct owners of each run
+        each = np.unique(run * (int(owner.max()) + 1) + owner[sa])
+        many = (np.bincount(each // (int(owner.max()) + 1)) >= owners)[run]
     out[sa] = many
     return out & whole
