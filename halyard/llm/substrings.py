@@ -85,11 +85,12 @@ class Anchors:
             self.h = np.zeros(0, np.uint64)
             return
         place = np.arange(grams)
-        h = self.roll.of(place, place + GRAM)
+        with np.errstate(over="ignore"):
+            h = mix64((self.roll.sums[GRAM:] - self.roll.sums[:-GRAM]) * self.roll.down[:grams])
         # least hash first, then leftmost: both follow from the string alone
         least = sliding_min((h & np.uint64(0xFFFFFFFF00000000)) | place.astype(np.uint64), span - GRAM + 1)
         starts = np.arange(len(least))
-        doc = np.searchsorted(self.offsets, starts, side="right") - 1
+        doc = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))[: len(starts)]
         ok = starts + span <= self.offsets[doc + 1]
         starts, doc = starts[ok], doc[ok]
         at = (least[ok] & np.uint64(0xFFFFFFFF)).astype(np.int64)
