@@ -6,7 +6,7 @@ from the start, named by a hash of the set.  Links between classes are found in
 1. Stars: classes that agree in one of a few minimum hashes are compared with one leader each.  This ties
    large groups of near copies together by about as many comparisons as they have members.
 2. Completion, which loses nothing: two sets at the threshold share a shingle of their prefixes (the rarest
-   shingles of each; the length of a prefix follows from the threshold).  Classes that share a prefix shingle
+   shingles of each; the lengths of prefixes follow from the threshold, and that of the smaller set is shorter).  Classes that share a prefix shingle
    but are not tied yet meet in tiles of (shingle, size band): sizes further apart than the threshold allows never
    meet, and the bits in which two hashed bitmaps differ bound the overlap from above.  What passes is compared.
 
@@ -29,7 +29,7 @@ from halyard.llm.common import NONSPACE, _ODD, Words, bit_filter, drop_staged, m
 from halyard.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
-LEAST_BITS, MOST_BITS, HASHES, FILTER_BITS = 512, 1 << 15, 6, 24
+LEAST_BITS, MOST_BITS, HASHES, FILTER_BITS = 512, 1 << 13, 6, 24
 #: Hubs of a large group, and rounds with other hubs each.
 HUBS, HUB_ROUNDS = 16, 2
 #: Groups of more rows are cut into size bands.
@@ -76,8 +76,8 @@ class Sets:
 
 
 def _bitmap(h: np.ndarray) -> bytes:
-    """Bits at the low ends of the hashes: eight to sixteen for each shingle, a power of two in all."""
-    size = min(MOST_BITS, max(LEAST_BITS, 1 << int(8 * len(h)).bit_length()))
+    """Bits at the low ends of the hashes: six to twelve for each shingle, a power of two and 8192 at most."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << int(6 * len(h)).bit_length()))
     bits = np.zeros(size, bool)
     bits[(h & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -180,7 +180,7 @@ def _shared_prefixes(docs: DataFrame, size: int, kind: np.ndarray, percent: int,
         def packed():
             t, c = np.concatenate(tokens), np.concatenate(names)
             pair = np.stack([t, c.view(np.uint64)], axis=1)
-            b = (mix64(t) % np.uint64(buckets)).astype(np.int64)
+            b = (mix64(t >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(b, kind="stable")
             pair, b = np.ascontiguousarray(pair[by]), b[by]
             cut = np.flatnonzero(np.diff(b, prepend=-1))
@@ -201,8 +201,11 @@ def _shared_prefixes(docs: DataFrame, size: int, kind: np.ndarray, percent: int,
                 n = np.diff(s.first)
                 length = n - (percent * n + 99) // 100 + 1
                 inside = np.arange(len(s.h)) - s.first[s.doc]
-                pick = rank[inside < length[s.doc]]
-                tokens.append(s.h[pick])
+                held_in = inside < length[s.doc]
+                pick = rank[held_in]
+                # the shorter of two sets shares a shingle of its index prefix with the longer's prefix: the lowest bit
+                short = n - (2 * percent * n + 99 + percent) // (100 + percent) + 1
+                tokens.append(s.h[pick] & ~np.uint64(1) | (inside < short[s.doc])[held_in].astype(np.uint64))
                 names.append(s.names(seed)[s.doc[pick]])
                 held += len(pick)
                 if held > 1 << 20:
@@ -214,19 +217,22 @@ def _shared_prefixes(docs: DataFrame, size: int, kind: np.ndarray, percent: int,
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def several(parts):
             pair = np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2)
-            token, name = pair[:, 0], pair[:, 1]
-            by = np.argsort(token)
-            pair = pair[by[_together(token[by])]]
+            by = np.argsort(pair[:, 0])
+            pair = pair[by[_together(pair[by, 0] >> np.uint64(1))]]
             pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
             new = np.ones(len(pair), bool)
             new[1:] = (pair[1:] != pair[:-1]).any(axis=1)
             pair = pair[new]
-            token, name = pair[_together(pair[:, 0])].T
+            token, name = pair[_together(pair[:, 0] >> np.uint64(1))].T
+            indexed, token = (token & np.uint64(1)).astype(bool), token >> np.uint64(1)
             # tokens met by the same classes are one: the name of a group is a hash of its members
             head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
             with np.errstate(over="ignore"):
                 group = mix64(np.add.reduceat(mix64(name), head)) if len(head) else name
-            group = np.repeat(group, np.diff(np.append(head, len(token))))
+            # without a member in whose index prefix it is, a shingle leads to no pair
+            wanted = np.logical_or.reduceat(indexed, head) if len(head) else indexed
+            sizes = np.diff(np.append(head, len(token)))
+            group, name = np.repeat(group, sizes)[np.repeat(wanted, sizes)], name[np.repeat(wanted, sizes)]
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(group).view(np.int64)), pa.array(np.ascontiguousarray(name).view(np.int64))], names=["token", "name"])
 
         now, parts = None, []
