@@ -11,7 +11,7 @@ those have to be sorted together.
    number cost a row per task.  All strings of a region met twice are repeated.
 3. Where regions with the same ``h`` differ, one text of each is sent, and groups are sorted by two-stage suffix
    sorting; adjacent common prefixes tell which strings start elsewhere.  Large groups are first split by
-   the bytes next to those they share, until they are small.
+   the bytes next to those they share, until they are small; a string is in one part only.
 4. Intervals are gathered per document and cut out of its text.
 """
 
@@ -127,10 +127,11 @@ def _pass(docs: DataFrame, make, schema: str) -> DataFrame:
 
 def _split(rows: list[tuple], span: int, left: int, right: int, share: int) -> Iterator[list[tuple]]:
     """Split a group until small.  rows: (id, text, offset of the shared bytes); strings reach ``left`` to ``right`` bytes
-    before the shared bytes (``share`` long) and so hold at least ``left`` bytes before and span - share - right after."""
+    before the shared bytes (``share`` long) and so hold at least ``left`` bytes before and span - share - right after.
+    A row may be in several parts; in each it is trimmed to the strings that are the part's, so none is in two."""
     if len(rows) <= SPLIT_MEMBERS or right - left < 2:
         if len(rows) > 1:
-            yield rows
+            yield [(k, text[max(0, off - right) : max(0, off - left + span)], off - max(0, off - right)) for k, text, off in rows]
         return
     mid = (left + right + 1) // 2
     parts: dict[tuple, list] = {}
@@ -237,29 +238,42 @@ def intervals(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(groups):
-            ids, lists, held = [], [], 0
+            flat, held, cover = [], 0, {}
+
+            def found(row, text_off, first, last):
+                # strings of a region overlap all, so one interval holds them
+                k1, k2, a, _, off, n = row
+                if n == 1:
+                    first, last = first + off - text_off, last + off - text_off
+                    lo, hi = cover.get((k1, k2, a), (first, last))
+                    cover[k1, k2, a] = min(lo, first), max(hi, last)
+
+            def sorted_rows():
+                for row, first, last in _sort_group(flat, span).tolist():
+                    found(flat[row][0], flat[row][2], first, last)
+
             for g in groups:
-                # ids index the rows of all groups; left sides hold their shared bytes at the end of the reach
+                # ids index the rows of the group; left sides hold their shared bytes at the end of the reach
                 side = [(k, t, o) for k, (t, o) in enumerate((r[3], r[4]) for r in g)]
                 half, reach = span // 2, max(o for _, _, o in side)
                 for part in _split(side, span, 0, max(reach, 1), half):
-                    lists.append([(g[k], t, o) for k, t, o in part])
-            flat: list[tuple] = []
-
-            def sorted_rows(flat):
-                for row, first, last in _sort_group(flat, span).tolist():
-                    k1, k2, a, _, _, n = flat[row][0]
-                    if n == 1:
-                        ids.append((k1, k2, a + first, a + last + span))
-
-            for rows in lists:
-                held += sum(len(t) for _, t, _ in rows)
-                flat += rows
-                if held > SORT_BYTES:
-                    sorted_rows(flat)
-                    flat, held = [], 0
+                    # equal once trimmed: all strings are repeated, and one text stands for all
+                    equal: dict[bytes, list] = {}
+                    for k, t, o in part:
+                        equal.setdefault(t, []).append((k, o))
+                    for t, members in equal.items():
+                        if len(members) > 1:
+                            for k, o in members:
+                                found(g[k], o, 0, len(t) - span)
+                        if len(equal) > 1:
+                            flat.append((g[members[0][0]], t, members[0][1]))
+                            held += len(t)
+                    if held > SORT_BYTES:
+                        sorted_rows()
+                        flat, held = [], 0
             if flat:
-                sorted_rows(flat)
+                sorted_rows()
+            ids = [(k1, k2, a + first, a + last + span) for (k1, k2, a), (first, last) in cover.items()]
             cols = zip(*ids, strict=True) if ids else ([], [], [], [])
             return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["k1", "k2", "lo", "hi"])
 

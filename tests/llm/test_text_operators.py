@@ -149,6 +149,18 @@ def test_large_groups_split_without_loss():
     assert found == {4, 5}
 
 
+@pytest.mark.parametrize("n", [700, 2100])
+def test_large_groups_equal_brute_force(spark, n):
+    g = random.Random(n)
+    passage = words(g, 400)[:450]
+    texts = [(i, words(g, 60) + passage + words(g, 60)) for i in range(n)]
+    # near copies that agree with their neighbours to one side, and a passage cut below and above the span
+    texts += [(n + i, words(g, 90) + t[-480:]) for i, (_, t) in enumerate(texts[:5])]
+    texts += [(n + 5 + i, words(g, 90) + passage[i * 26 : 425]) for i in range(3)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert rows(substrings.result(df)) == sorted(substrings.brute_force(texts))
+
+
 def test_jaccard_equals_brute_force(docs):
     assert rows(jaccard.join(docs[1])) == sorted(jaccard.brute_force(docs[0]))
     assert rows(jaccard.join(docs[1], 5, 80)) == sorted(jaccard.brute_force(docs[0], 5, 80))
