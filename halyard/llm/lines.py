@@ -50,14 +50,19 @@ class Chunks:
                 back = np.where(fresh, np.uint64(0), back)
                 rolled = rolled + back * (_ODD ** np.uint64(k))
                 fresh = fresh | np.concatenate([[True], fresh[:-1]]) if n else fresh
-        number = np.arange(len(ends)) - np.maximum.accumulate(np.where(first, np.arange(len(ends)), 0))
         # of neighbouring boundaries the first counts, and none falls after a text's first or before its last line:
         # local rules, by which every text of two lines or more has chunks of two lines or more only
+        place = np.arange(len(ends))
         mark = (mix64(rolled) % np.uint64(DIVISOR) == 0) & ~first
         cut = mark.copy()
         cut[1:] &= ~mark[:-1]
         cut[:-1] &= ~last[1:]
-        cut |= last | (number % MAX_LINES == MAX_LINES - 1)
+        cut |= last
+        # too long a chunk is cut by the count of its own lines, but never so that one line is left
+        own = np.flatnonzero(cut)
+        lengths = np.diff(own, prepend=-1)
+        number, left = place - np.repeat(own - lengths + 1, lengths), np.repeat(own, lengths) - place
+        cut |= (number % MAX_LINES == MAX_LINES - 1) & (left > 1)
         at = np.flatnonzero(cut)
         head = np.concatenate([[0], at[:-1] + 1]) if len(at) else at
         self.doc, self.start, self.end, self.lines = doc[at], starts[head], ends[at], at - head + 1

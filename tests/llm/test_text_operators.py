@@ -196,6 +196,23 @@ def test_line_dedup_keeps_first_occurrences(spark, docs):
     assert lines.result(docs[1].limit(0)).collect() == []
 
 
+def test_line_dedup_of_long_copies(spark):
+    import pyarrow as pa
+
+    r = random.Random(13)
+    for n in (65, 66, 129, 500):
+        # the first without a boundary of its own, so that only the forced ones cut it
+        for text in ("\n".join(["same"] * n), "\n".join(words(r, 8) for _ in range(n))):
+            cut = lines.Chunks(pa.array([text], pa.string()))
+            assert cut.lines.min() >= 2 and cut.lines.max() <= lines.MAX_LINES + 1
+    long = "\n".join(words(r, 8) for _ in range(500))
+    df = spark.createDataFrame([(0, long), (1, long), (2, f"{words(r, 8)}\n{long}")], "doc_id long, text string")
+    got = {x.doc_id: x for x in lines.dedup(df).collect()}
+    assert (got[0].n_removed_lines, got[1].n_removed_lines, got[1].text) == (0, 500, "")
+    # lines before the first boundary of both stay, and none of those after
+    assert 0 < len(got[2].text.split("\n")) < 30 and long.startswith(got[2].text.split("\n", 1)[1])
+
+
 def test_html_blocks_and_hosts(spark):
     page = '<!doctype html><html><head><title>t</title><script>var a="</p><article>";</script></head><body><nav>menu</nav><header>top</header><article class="post"><h1>A &amp; B</h1><p>one <b>two<br>three<p>fo&#117;r\n\t five<div class="ad">buy</div><aside>x</aside><form>y</form><ul><li>l1<li>l2</ul><section id="comments"><p>nice</p></section></article><footer>&copy;</footer>'
     bare = [f"<body><div>site wide menu of the shop with many words</div><div>unique text number {i} {'abcdefgh'[i]} lives here only {i * 7}</div></body>" for i in range(6)]
