@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from halyard.llm.common import _ODD, bit_filter, mix64, row_key, span_hashes, stage, steps, text_bytes
 
-ROLL, DIVISOR, MIN_LINES, MAX_LINES = 2, 4, 2, 64
+ROLL, DIVISOR, MIN_LINES, MAX_LINES = 2, 2, 2, 64
 _NEWLINE, FILTER_BITS = 10, 25
 
 
@@ -50,12 +50,11 @@ class Chunks:
                 back = np.where(fresh, np.uint64(0), back)
                 rolled = rolled + back * (_ODD ** np.uint64(k))
                 fresh = fresh | np.concatenate([[True], fresh[:-1]]) if n else fresh
-        # of neighbouring boundaries the first counts, and none falls after a text's first or before its last line:
+        # of a run of boundaries every second counts from its first on, and none falls after a text's first or before its last line:
         # local rules, by which every text of two lines or more has chunks of two lines or more only
         place = np.arange(len(ends))
         mark = (mix64(rolled) % np.uint64(DIVISOR) == 0) & ~first
-        cut = mark.copy()
-        cut[1:] &= ~mark[:-1]
+        cut = mark & ((place - np.maximum.accumulate(np.where(mark, 0, place))) % 2 == 1)
         cut[:-1] &= ~last[1:]
         cut |= last
         # too long a chunk is cut by the count of its own lines, but never so that one line is left

@@ -213,6 +213,15 @@ def test_line_dedup_of_long_copies(spark):
     assert 0 < len(got[2].text.split("\n")) < 30 and long.startswith(got[2].text.split("\n", 1)[1])
 
 
+def test_line_dedup_of_short_passages(spark):
+    r = random.Random(14)
+    passages = ["\n".join(words(r, 12) for _ in range(5)) for _ in range(200)]
+    texts = [(j * 1000 + i, "\n".join([*(words(r, 9) for _ in range(3)), p, *(words(r, 9) for _ in range(3))])) for j in range(2) for i, p in enumerate(passages)]
+    got = lines.dedup(spark.createDataFrame(texts, "doc_id long, text string")).where("doc_id >= 1000").agg(F.sum("n_removed_lines"), F.max("n_removed_lines")).first()
+    # of five repeated lines amid own text, with no more than those gone
+    assert got[0] >= 0.2 * 5 * 200 and got[1] <= 5
+
+
 def test_html_blocks_and_hosts(spark):
     page = '<!doctype html><html><head><title>t</title><script>var a="</p><article>";</script></head><body><nav>menu</nav><header>top</header><article class="post"><h1>A &amp; B</h1><p>one <b>two<br>three<p>fo&#117;r\n\t five<div class="ad">buy</div><aside>x</aside><form>y</form><ul><li>l1<li>l2</ul><section id="comments"><p>nice</p></section></article><footer>&copy;</footer>'
     bare = [f"<body><div>site wide menu of the shop with many words</div><div>unique text number {i} {'abcdefgh'[i]} lives here only {i * 7}</div></body>" for i in range(6)]
