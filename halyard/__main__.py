@@ -39,8 +39,8 @@ def main(argv: list[str] | None = None) -> int:
             print(f"imported {store.upsert(jsonl.read(spark, a.file))}")
             store.checkpoint()
         elif a.command == "calibrate":
-            print(f"coded {store.encoded().count()} vectors as {store.options.quantization}")
-            store.checkpoint()
+            store.calibrate()
+            print(f"coded {store.sizes()['live']} vectors as {store.options.quantization}")
         else:
             from halyard.server import Server
 

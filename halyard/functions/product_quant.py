@@ -22,6 +22,8 @@ from halyard.functions.rng import DEFAULT_SEED, Uniform
 ROUNDS, CENTROIDS = 12, 256
 #: Training rows: a documented bound; a larger table is sampled by hash of the id.
 TRAIN_ROWS = 100_000
+#: Rows are drawn by hashes of this many numbers.
+SPACE = 1 << 62
 # fixed values: salts of the subspaces' seeds
 SUBSPACE_SALT, SUBSPACE_STEP = 0x5051, 0x9E37
 
@@ -105,7 +107,7 @@ def train(df: DataFrame, m: int, k: int = CENTROIDS, seed: int = DEFAULT_SEED, o
     if not n:
         raise ValueError("cannot calibrate an empty index")
     if n > rows:
-        df = df.where(F.pmod(F.xxhash64(order), F.lit(1 << 20)) < int((1 << 20) * rows / n))
+        df = df.where(F.pmod(F.xxhash64(order), F.lit(SPACE)) < SPACE * rows // n)
     parts = segments(len(df.select(vec).first()[0]), m)
     cut = F.array(*(F.struct(F.lit(i).alias("sub"), F.slice(vec, o + 1, size).alias("x")) for i, (o, size) in enumerate(parts)))
     each = df.select(F.col(order).alias("id"), F.explode(cut).alias("s")).select("id", "s.sub", "s.x")

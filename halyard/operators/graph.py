@@ -8,7 +8,10 @@ larger ones.  Graphs are rows of a table: (shard, graph), searched where they li
 from __future__ import annotations
 
 import heapq
-import pickle
+import io
+import json
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +25,8 @@ from halyard.operators import knn
 from halyard.operators.knn import clamp, scores, unit
 
 SHARD_ROWS = 2000
+#: Of stored graphs.
+MAGIC, FORMAT, MOST_LEVELS = b"hlyg", 1, 32
 
 
 def knn_graph(base: DataFrame, m: int, metric: str = "cosine", vid: str = "vid", vec: str = "vec") -> DataFrame:
@@ -39,9 +44,9 @@ def degree_stats(edges: DataFrame, nodes: DataFrame, vid: str = "vid") -> DataFr
     return all_.agg(F.count(F.lit(1)).alias("nodes"), zero(F.round(F.avg("o"), 6)).cast("double").alias("avg_out"), zero(F.max("o")).alias("max_out"), zero(F.max("i")).alias("max_in"))
 
 
-def adjacency(edges: DataFrame, ids: list) -> DataFrame:
+def adjacency(edges: DataFrame) -> DataFrame:
     """src and the ids it points to, in order."""
-    return edges.where(F.col("src").isin(ids)).groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dst"))), lambda x: x["dst"]).alias("links"))
+    return edges.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dst"))), lambda x: x["dst"]).alias("links"))
 
 
 def select_diverse(order: list[int], to_base: np.ndarray, between, m: int) -> list[int]:
@@ -223,6 +228,44 @@ class Hnsw:
                 out.add(self.ids[n], self.x[n])
         return out
 
+    def dumps(self) -> bytes:
+        """Everything as bytes: magic, checksum, then a header and arrays that hold no code."""
+        lists = [near for levels in self.links for near in levels]
+        head = {"version": FORMAT, "metric": self.metric, "m": self.m, "efc": self.efc, "seed": self.seed, "extend": self.extend, "dim": int(self.x.shape[1]), "count": self.n, "entry": self.entry, "top": self.top}
+        out = io.BytesIO()
+        np.savez(
+            out, head=np.frombuffer(json.dumps(head).encode(), np.uint8), ids=np.frombuffer(json.dumps(self.ids).encode(), np.uint8), levels=np.array(self.levels, np.int16), x=self.x[: self.n],
+            sizes=np.array([len(x) for x in lists], np.int32), near=np.array([b for x in lists for b in x], np.int32), dead=np.array(sorted(self.dead), np.int32),
+        )
+        body = out.getvalue()
+        return MAGIC + struct.pack("<I", zlib.crc32(body)) + body
+
+    @classmethod
+    def loads(cls, data: bytes) -> Hnsw:
+        """The graph that ``dumps`` wrote; ValueError if anything in it can't be."""
+        body = data[8:]
+        if data[:4] != MAGIC or struct.unpack("<I", data[4:8])[0] != zlib.crc32(body):
+            raise ValueError("not a graph, or a damaged one")
+        a = np.load(io.BytesIO(body), allow_pickle=False)
+        head, ids = json.loads(a["head"].tobytes()), json.loads(a["ids"].tobytes())
+        if head["version"] != FORMAT:
+            raise ValueError(f"unknown graph version {head['version']}")
+        n, levels, sizes, near, entry = head["count"], a["levels"], a["sizes"], a["near"], head["entry"]
+        if not len(ids) == len(levels) == len(a["x"]) == n or (n and (levels.min() < 0 or levels.max() > MOST_LEVELS)) or (n and a["x"].shape[1] != head["dim"]):
+            raise ValueError("a graph whose nodes don't agree")
+        if len(sizes) != int((levels.astype(np.int64) + 1).sum()) or int(sizes.sum()) != len(near) or (len(near) and (near.min() < 0 or near.max() >= n)):
+            raise ValueError("a graph with links to nowhere")
+        if (n == 0) != (entry < 0) or (n and (entry >= n or levels[entry] != head["top"])) or (len(a["dead"]) and (a["dead"].min() < 0 or a["dead"].max() >= n)):
+            raise ValueError("a graph without a valid entry")
+        g = cls(head["metric"], head["m"], head["efc"], head["seed"], head["extend"])
+        g.ids, g.levels, g.x, g.n, g.entry, g.top, g.dead = ids, levels.tolist(), a["x"], n, entry, head["top"], set(a["dead"].tolist())
+        ends = np.cumsum(sizes)
+        lists = [x.tolist() for x in np.split(near, ends[:-1])] if len(sizes) else []
+        first = np.concatenate([[0], np.cumsum(levels.astype(np.int64) + 1)])
+        g.links = [lists[i:j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        g.at = {id_: i for i, id_ in enumerate(ids) if i not in g.dead}
+        return g
+
     def level_stats(self) -> list[tuple[int, int, float, int]]:
         """(level, live nodes, average degree, largest degree) of each level."""
         out = []
@@ -243,45 +286,67 @@ def build(base: DataFrame, metric: str = "cosine", m: int = 16, ef_construction:
         for id_, v in pdf.sort_values("vid")[["vid", "vec"]].itertuples(index=False):
             g.add(id_, v)
         g.x = g.x[: g.n]
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "rows": [len(pdf)], "graph": [pickle.dumps(g)]})
+        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "rows": [len(pdf)], "graph": [g.dumps()]})
 
     return rows.groupBy("shard").applyInPandas(one, "shard int, rows long, graph binary")
 
 
-def search(graphs: DataFrame, queries: list[tuple], k: int, ef: int | None = None, ok=None) -> DataFrame:
-    """qid, vid, dist, rk: every shard is searched for every query; the best of all shards are ranked."""
+def _asked(graphs: DataFrame, queries: list[tuple] | DataFrame) -> DataFrame:
+    """``graphs`` with the queries (qid, vec) of each row: a set that fits a block goes along with the code, a larger one is cut
+    into blocks, rows of a table that meet every shard."""
+    held = queries if isinstance(queries, list) else knn._collected(queries, "vec")
+    if held is not None:
+        rows = [(0, [(r[0], [float(x) for x in r[1]]) for r in held])]
+        kind = "array<struct<qid long, vec array<float>>>" if isinstance(queries, list) else f"array<struct<qid {dict(queries.dtypes)['qid']}, vec array<float>>>"
+        return graphs.crossJoin(F.broadcast(graphs.sparkSession.createDataFrame(rows, f"block int, asked {kind}"))).drop("block")
+    size = queries.agg(F.sum(F.size("vec").cast("long") * 4 + 16)).first()[0]
+    cut = queries.groupBy(F.pmod(F.xxhash64("qid"), F.lit(-(-size // knn.BLOCK_BYTES))).alias("block")).agg(F.collect_list(F.struct("qid", "vec")).alias("asked"))
+    return graphs.crossJoin(cut.drop("block"))
+
+
+def search(graphs: DataFrame, queries: list[tuple] | DataFrame, k: int, ef: int | None = None, ok=None, kind: str = "long") -> DataFrame:
+    """qid, vid, dist, rk: every shard is searched for every query (qid, vec); the best of all shards are ranked."""
+    qid = "long" if isinstance(queries, list) else dict(queries.dtypes)["qid"]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for g in map(pickle.loads, pdf["graph"]):
-                out = [(q, id_, round(d, knn.DIGITS) + 0.0) for q, v in queries for id_, d in g.search(v, k, ef, ok)]
+            for data, asked in zip(pdf["graph"], pdf["asked"], strict=True):
+                g = Hnsw.loads(data)
+                out = [(q["qid"], id_, round(d, knn.DIGITS) + 0.0) for q in asked for id_, d in g.search(q["vec"], k, ef, ok)]
                 yield pd.DataFrame(out, columns=["qid", "vid", "dist"])
 
-    return knn._ranked(graphs.mapInPandas(run, "qid long, vid long, dist double"), k)
+    return knn._ranked(_asked(graphs, queries).select("graph", "asked").mapInPandas(run, f"qid {qid}, vid {kind}, dist double"), k)
 
 
-def trace(graphs: DataFrame, queries: list[tuple], k: int, ef: int | None = None, kind: str = "long") -> DataFrame:
+def trace(graphs: DataFrame, queries: list[tuple] | DataFrame, k: int, ef: int | None = None, kind: str = "long") -> DataFrame:
     """qid, shard, level, entry, visited, hops (array of from, to, dist) of each layer of each search."""
-    schema = f"qid long, shard int, level int, entry {kind}, visited long, hops array<struct<from {kind}, to {kind}, dist double>>"
+    qid = "long" if isinstance(queries, list) else dict(queries.dtypes)["qid"]
+    schema = f"qid {qid}, shard int, level int, entry {kind}, visited long, hops array<struct<from {kind}, to {kind}, dist double>>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for shard, data in zip(pdf["shard"], pdf["graph"], strict=True):
-                g, out = pickle.loads(data), []
-                for q, v in queries:
+            for shard, data, asked in zip(pdf["shard"], pdf["graph"], pdf["asked"], strict=True):
+                g, out = Hnsw.loads(data), []
+                for q in asked:
                     layers: list = []
-                    g.search(v, k, ef, trace=layers)
+                    g.search(q["vec"], k, ef, trace=layers)
                     for t in layers:
-                        out.append((q, shard, t["level"], t["entry"], t["visited"], [{"from": g.ids[a], "to": g.ids[b], "dist": d} for a, b, d in t["hops"]]))
+                        out.append((q["qid"], shard, t["level"], t["entry"], t["visited"], [{"from": g.ids[a], "to": g.ids[b], "dist": d} for a, b, d in t["hops"]]))
                 yield pd.DataFrame(out, columns=["qid", "shard", "level", "entry", "visited", "hops"])
 
-    return graphs.mapInPandas(run, schema)
+    return _asked(graphs, queries).select("shard", "graph", "asked").mapInPandas(run, schema)
+
+
+def visited(traced: DataFrame) -> DataFrame:
+    """qid, visited: the nodes that each search looked at, over all layers and shards."""
+    return traced.groupBy("qid").agg(F.sum("visited").alias("visited"))
 
 
 def stats(graphs: DataFrame) -> DataFrame:
     """level, nodes, avg_degree, max_degree over all shards."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for g in map(pickle.loads, pdf["graph"]):
+            for g in map(Hnsw.loads, pdf["graph"]):
                 yield pd.DataFrame(g.level_stats(), columns=["level", "nodes", "avg_degree", "max_degree"])
 
     each = graphs.mapInPandas(run, "level int, nodes long, avg_degree double, max_degree int")

@@ -98,13 +98,17 @@ def make_handler(store: VectorStore):
             if len(vec) != store.options.dim:
                 raise BadRequest(f"vector dimension mismatch: expected {store.options.dim}, got {len(vec)}")
             query = spark.createDataFrame([(0, [float(x) for x in vec])], "qid long, vec array<float>")
+            ef, k = body.get("ef"), max(1, min(k, MOST_K))
+            if ef is not None and (isinstance(ef, bool) or not isinstance(ef, int)):
+                raise BadRequest("ef must be an integer")
             out: dict = {}
             if body.get("trace"):
-                from halyard.operators import graph
-
-                g = graph.build(store.encoded().select("id", "vec"), store.options.metric, store.options.m, store.options.ef_construction, 1, store.options.seed, "id")
-                out["trace"] = [r.asDict(recursive=True) for r in graph.trace(g, [(0, [float(x) for x in vec])], max(1, min(k, MOST_K)), body.get("ef"), "string").collect()]
-            hits = store.search(query, max(1, min(k, MOST_K))).orderBy("rk").collect()
+                with writes:
+                    hits, traced = store.search_with_trace(query, k, ef)
+                out["trace"] = [r.asDict(recursive=True) for r in traced.collect()]
+            else:
+                hits = store.search(query, k, ef=ef)
+            hits = hits.orderBy("rk").collect()
             return 200, {"results": [{"id": r["vid"], "dist": r["dist"]} for r in hits], "tookMs": round((time.time() - self.began) * 1000, 1)} | out
 
         do_GET = lambda self: self._answer("GET")

@@ -28,10 +28,12 @@ def local_session(cores: int | str = 8, app: str = "halyard", **conf: str) -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset, as in
-    tests on one machine, a temporary folder of this machine is used instead.
+    A cluster names it in ``spark.checkpoint.dir``; without that it is an error there.  Only on one machine, as in
+    tests, a temporary folder of this machine is used instead.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="halyard-shared-")
         spark.conf.set("spark.checkpoint.dir", found)

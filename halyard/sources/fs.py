@@ -1,4 +1,4 @@
-"""Small files on whatever file system Spark reads: text in and out, atomically replaced."""
+"""Small files on whatever file system Spark reads: text in and out, replaced without a gap."""
 
 from __future__ import annotations
 
@@ -25,16 +25,34 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, path: str, text: str) -> None:
-        """Write beside, then rename over: readers see the old or the new text, never a part."""
+    def _versions(self, path: str) -> list[tuple[int, str]]:
+        folder, name = path.rsplit("/", 1)
+        return sorted((int(n.rsplit(".", 1)[1]), f"{folder}/{n}") for n in self.names(folder) if n.startswith(name + ".") and n.rsplit(".", 1)[1].isdigit())
+
+    def put(self, path: str, text: str) -> None:
+        """Replace the text kept under ``path``.  Versions are numbered files: a new one is written beside and takes its name by a
+        rename to a name that isn't there, so at any moment ``get`` finds the old text or the new one."""
+        old = self._versions(path)
+        self.write_bytes(path + ".tmp", text.encode())
+        self.rename(path + ".tmp", f"{path}.{old[-1][0] + 1 if old else 1}")
+        for _, name in old:
+            self.delete(name)
+
+    def get(self, path: str) -> str | None:
+        """The newest text put under ``path``; None if there is none."""
+        found = self._versions(path)
+        return self.read(found[-1][1]) if found else None
+
+    def write_bytes(self, path: str, data: bytes) -> None:
         p, fs = self._at(path)
-        beside, _ = self._at(path + ".tmp")
-        out = fs.create(beside, True)
-        out.write(bytearray(text.encode()))
+        out = fs.create(p, True)
+        out.write(bytearray(data))
         out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(beside, p)
+
+    def rename(self, path: str, to: str) -> None:
+        p, fs = self._at(path)
+        if not fs.rename(p, self._at(to)[0]):
+            raise OSError(f"cannot rename {path} to {to}")
 
     def create(self, path: str, text: str) -> bool:
         """Write only if the file isn't there; the file system decides between two that try."""

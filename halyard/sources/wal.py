@@ -15,6 +15,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from halyard.sources.fs import Files
+
 UPSERT, DELETE = 1, 2
 NAMES = {UPSERT: "upsert", DELETE: "delete"}
 _FRAME, _HEAD = struct.Struct("<II"), struct.Struct("<IBH")
@@ -66,6 +68,21 @@ def read(spark: SparkSession, path: str, dim: int) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
 
 
+def repair(spark: SparkSession, path: str, dim: int) -> int:
+    """Cut a log file off after its last good frame; returns the bytes that went.  The good part is written beside first, and a
+    repair that was broken off is ended by the next."""
+    files, beside = Files(spark), f"{path}.repaired"
+    if not files.exists(path) and files.exists(beside):
+        files.rename(beside, path)
+    data = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+    got = parse(data, dim)
+    if got.torn:
+        files.write_bytes(beside, data[: got.valid_bytes])
+        files.delete(path)
+        files.rename(beside, path)
+    return len(data) - got.valid_bytes
+
+
 def frames(ops: DataFrame) -> DataFrame:
     """seq and the encoded frame of each operation (seq, kind, id, vec)."""
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
