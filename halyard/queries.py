@@ -36,9 +36,9 @@ def base(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("vid"), F.col("embedding").alias("vec"), "label")
 
 
-def asked(spark: SparkSession, sf: str, n: int = 10) -> DataFrame:
-    """The query vectors: the first ``n`` ids."""
-    return base(spark, sf).where(F.col("vid") < n).select(F.col("vid").alias("qid"), "vec")
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    """The query vectors: every id divisible by 50."""
+    return base(spark, sf).where("vid % 50 = 0").select(F.col("vid").alias("qid"), "vec")
 
 
 # SQL fragments: B raw vectors, N normalised ones (rounded to float), long forms by dimension
@@ -56,7 +56,7 @@ def _prepared(metric: str) -> str:
     return _N if metric == "cosine" else f"{_B}, n AS (SELECT * FROM b)"
 
 
-def knn_sql(metric: str, k: int, where: str = "true", queries: str = "q.vid < 10", head: str | None = None, dist: str | None = None, q: str = "n", skip_self: bool = True) -> str:
+def knn_sql(metric: str, k: int, where: str = "true", queries: str = "q.vid % 50 = 0", head: str | None = None, dist: str | None = None, q: str = "n", skip_self: bool = True) -> str:
     """Top k of ``n`` for the rows ``q`` of the prepared vectors ``head``."""
     return f"""WITH {head or _prepared(metric)},
 s AS (SELECT q.vid AS qid, n.vid AS vid, round({dist or _DIST[metric]}, 6) + 0.0 AS dist FROM {q} q, n WHERE {queries} AND {'q.vid <> n.vid' if skip_self else 'true'} AND {where}),
@@ -67,7 +67,7 @@ SELECT qid, vid, dist, CAST(rk AS BIGINT) AS rk FROM r WHERE rk <= {k}"""
 # -- kernels
 def _kernel(name: str, value, sql: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        one = asked(spark, sf, 1).select(F.col("vec").alias("q"))
+        one = base(spark, sf).where("vid = 0").select(F.col("vec").alias("q"))
         # the other side is one row
         return base(spark, sf).crossJoin(F.broadcast(one.limit(1))).select("vid", K.rounded(value(F.col("q"), F.col("vec"))).alias("value"))
 
@@ -94,12 +94,12 @@ for _m in K.METRICS:
 
 @query(knn_sql("cosine", 5, queries="q.vid = 3", skip_self=False))
 def knn_single(spark, sf):
-    return knn.expressions(asked(spark, sf).where("qid = 3"), base(spark, sf), 5)
+    return knn.expressions(base(spark, sf).where("vid = 3").select(F.col("vid").alias("qid"), "vec"), base(spark, sf), 5)
 
 
-@query(knn_sql("euclidean", 100_000, queries="q.vid < 2"))
+@query(knn_sql("euclidean", 100_000))
 def knn_k_gt_n(spark, sf):
-    return knn.blocks(asked(spark, sf, 2), base(spark, sf), 100_000, "euclidean", exclude_self=True)
+    return knn.blocks(asked(spark, sf), base(spark, sf), 100_000, "euclidean", exclude_self=True)
 
 
 @query("SELECT * FROM (VALUES (0, -1, 0, 16), (5, -1, 5, 16), (10, 4, 10, 10), (20, -1, 20, 20), (10, 64, 10, 64)) t(k_asked, ef_asked, k, ef)")
@@ -175,7 +175,7 @@ for _e, _l in SQ.LEVELS.items():
             if m == "euclidean":
                 return knn.blocks(asked(spark, sf), decoded, 10, m, exclude_self=True)
             # the query is coded too; cosine divides by the lengths of the decoded vectors
-            q = decoded.where("vid < 10").select(F.col("vid").alias("qid"), "vec")
+            q = decoded.where("vid % 50 = 0").select(F.col("vid").alias("qid"), "vec")
             return knn.blocks(q, decoded, 10, m, exclude_self=True, score=_cosine_of if m == "cosine" else None)
 
         _head = f"{_prepared(_m).replace(' n AS', ' p AS')}, {_cal(_l, 'p')}, n AS (SELECT vid, list(y ORDER BY d) AS v FROM deq GROUP BY vid)"
@@ -207,6 +207,38 @@ def sq_aux(spark, sf):
     return a.select("vid", *(K.rounded(F.col(f"a.{k}")).alias(k) for k in ("dot_c", "norm", "self_w", "xsm")))
 
 
+_CODED = f"WITH {_B}, {_cal(255, 'b')}, y AS (SELECT vid, d, q, step::DOUBLE AS step, low::DOUBLE AS low FROM code), one AS (SELECT d, q FROM y WHERE vid = 0), x0 AS (SELECT d, x::DOUBLE AS x FROM x WHERE vid = 0)"
+
+
+def _with_first(spark, sf):
+    """Codes and scalars of all rows, with the first row's vector, codes and scalars (one row, broadcast)."""
+    data, c = _calibrated(spark, sf, "sq8", "euclidean")
+    coded = data.select("vid", "vec", SQ.encode(F.col("vec"), c).alias("codes")).withColumn("aux", SQ.aux(F.col("codes"), c))
+    return coded.crossJoin(F.broadcast(coded.where("vid = 0").limit(1).select(F.col("vec").alias("v0"), F.col("codes").alias("c0"), F.col("aux").alias("a0")))), c
+
+
+@query(f"{_CODED} SELECT vid, round(sqrt(sum((x0.x - (q * step + low)) * (x0.x - (q * step + low)))), 5) + 0.0 AS value FROM y JOIN x0 USING (d) GROUP BY vid")
+def sq8_asymmetric_euclidean(spark, sf):
+    rows, c = _with_first(spark, sf)
+    return rows.select("vid", K.rounded(SQ.asymmetric_euclidean(F.col("v0"), F.col("codes"), F.col("aux"), c), 5).alias("value"))
+
+
+# step * low is kept as a float
+_INNER = "sum(y.q * one.q * step * step + (y.q + one.q) * CAST(step * low AS FLOAT)::DOUBLE + low * low)"
+_SYMMETRIC = {
+    "euclidean": "sqrt(sum((y.q - one.q) * step * (y.q - one.q) * step))",
+    "dot": f"-{_INNER}",
+    "cosine": f"1 - {_INNER} / sqrt(sum((y.q * step + low) * (y.q * step + low)) * sum((one.q * step + low) * (one.q * step + low)))",
+}
+for _m in K.METRICS:
+
+    def _symmetric(spark, sf, m=_m):
+        rows, c = _with_first(spark, sf)
+        return rows.select("vid", K.rounded(SQ.symmetric(F.col("codes"), F.col("aux"), F.col("c0"), F.col("a0"), c, m), 5).alias("value"))
+
+    query(f"{_CODED} SELECT y.vid, round({_SYMMETRIC[_m]}, 5) + 0.0 AS value FROM y JOIN one USING (d) GROUP BY y.vid", f"sq8_symmetric_{_m}")(_symmetric)
+
+
 def _recall_sql(levels: int) -> str:
     exact, coded = knn_sql("euclidean", 10), knn_sql("euclidean", 10, head=f"{_B}, p AS (SELECT * FROM b), {_cal(levels, 'p')}, n AS (SELECT vid, list(y ORDER BY d) AS v FROM deq GROUP BY vid)", q="p")
     return f"SELECT qid, round(count(c.vid) / count(*)::DOUBLE, 6) AS recall FROM ({exact}) e LEFT JOIN ({coded}) c USING (qid, vid) GROUP BY qid"
@@ -220,16 +252,21 @@ for _e, _l in SQ.LEVELS.items():
     query(_recall_sql(_l), f"recall_{_e}")(_recall)
 
 # -- product quantization: a codebook of the first 16 vectors' segments, eight subspaces of eight dimensions
-_PQ = f"""{_B}, seg AS (SELECT vid, unnest(range(8)) AS s, v FROM b),
+def _pq(metric: str) -> str:
+    return (f"b0 AS (SELECT vec_id AS vid, embedding AS v FROM embeddings), b AS (SELECT vid, {_UNIT} AS v FROM b0)" if metric == "cosine" else _B) + _PQ_REST
+
+
+_PQ_REST = """, seg AS (SELECT vid, unnest(range(8)) AS s, v FROM b),
 g AS (SELECT vid, s, list_slice(v, CAST(8 * s + 1 AS BIGINT), CAST(8 * s + 8 AS BIGINT)) AS x FROM seg),
 cb AS (SELECT s, vid AS c, x AS y FROM g WHERE vid < 16),
 dd AS (SELECT g.vid, g.s, cb.c, list_sum(list_transform(list_zip(g.x, cb.y), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) AS d FROM g JOIN cb USING (s)),
 code AS (SELECT vid, s, arg_min(c, (d, c)) AS c FROM dd GROUP BY vid, s),
 n AS (SELECT code.vid, flatten(list(cb.y ORDER BY code.s)) AS v FROM code JOIN cb USING (s, c) GROUP BY code.vid)"""
+_PQ = _pq("euclidean")
 
 
-def _fixed(spark, sf):
-    data = base(spark, sf).drop("label")
+def _fixed(spark, sf, metric: str = "euclidean"):
+    data = base(spark, sf).select("vid", K.prepare(F.col("vec"), metric).alias("vec"))
     book = PQ.fixed(data, 8, 16)
     return data, book, PQ.encode(data, book)
 
@@ -256,17 +293,22 @@ def _coded(coded: DataFrame) -> DataFrame:
     return coded.select("vid", F.col("codes").alias("vec"))
 
 
-@query(knn_sql("euclidean", 10, head=_PQ, q="b"))
-def pq_adc_fixed(spark, sf):
-    _, book, coded = _fixed(spark, sf)
-    return knn.blocks(asked(spark, sf), _coded(coded), 10, "euclidean", exclude_self=True, score=_by_table(book, "euclidean"))
+_BOTH_LENGTHS = "1 - list_inner_product(q.v::DOUBLE[], n.v::DOUBLE[]) / sqrt(list_inner_product(q.v::DOUBLE[], q.v::DOUBLE[]) * list_inner_product(n.v::DOUBLE[], n.v::DOUBLE[]))"
+for _m in K.METRICS:
+    _name, _by = "" if _m == "euclidean" else f"_{_m}", _BOTH_LENGTHS if _m == "cosine" else None
 
+    def _adc(spark, sf, m=_m):
+        data, book, coded = _fixed(spark, sf, m)
+        q = data.where("vid % 50 = 0").select(F.col("vid").alias("qid"), "vec")
+        return knn.blocks(q, _coded(coded), 10, m, exclude_self=True, score=_by_table(book, m))
 
-@query(knn_sql("euclidean", 10, head=_PQ))
-def pq_sym_fixed(spark, sf):
-    _, book, coded = _fixed(spark, sf)
-    decoded = PQ.decode(coded.drop("vec"), book)
-    return knn.blocks(decoded.where("vid < 10").select(F.col("vid").alias("qid"), "vec"), decoded, 10, "euclidean", exclude_self=True)
+    def _sym(spark, sf, m=_m):
+        _, book, coded = _fixed(spark, sf, m)
+        decoded = PQ.decode(coded.drop("vec"), book)
+        return knn.blocks(decoded.where("vid % 50 = 0").select(F.col("vid").alias("qid"), "vec"), decoded, 10, m, exclude_self=True, score=_cosine_of if m == "cosine" else None)
+
+    query(knn_sql(_m, 10, head=_pq(_m), q="b", dist=_by), f"pq_adc_fixed{_name}")(_adc)
+    query(knn_sql(_m, 10, head=_pq(_m), dist=_by), f"pq_sym_fixed{_name}")(_sym)
 
 
 @query(f"WITH {_PQ}, a AS (SELECT code.s, code.c, unnest(range(8)) AS d, unnest(g.x) AS x FROM code JOIN g USING (vid, s)) SELECT CAST(s AS BIGINT) AS sub, CAST(c AS INTEGER) AS code, CAST(d AS BIGINT) AS d, count(*) AS n, round(avg(x::DOUBLE), 6) + 0.0 AS center FROM a GROUP BY s, c, d")
@@ -365,9 +407,9 @@ def graph_degree_stats(spark, sf):
     return graph.degree_stats(graph_knn(spark, sf), base(spark, sf))
 
 
-@query(f"WITH e AS ({ORACLE['graph_knn']}) SELECT src, pos, dst FROM e WHERE src < 10")
+@query(f"WITH e AS ({ORACLE['graph_knn']}) SELECT src, pos, dst FROM e WHERE src % 50 = 0")
 def graph_adjacency(spark, sf):
-    links = graph.adjacency(graph_knn(spark, sf), list(range(10)))
+    links = graph.adjacency(graph_knn(spark, sf).where("src % 50 = 0"))
     return links.select("src", F.posexplode("links").alias("p", "dst")).select("src", (F.col("p") + 1).cast("long").alias("pos"), "dst")
 
 
@@ -388,23 +430,19 @@ def level_assign(spark, sf):
 def _graphs(spark, sf) -> DataFrame:
     """The shards' graphs, kept as a table: built once, searched where they lie."""
     path = f"{shared_dir(spark)}/halyard/graphs-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
-    built = graph.build(base(spark, sf), "euclidean", ef_construction=64, shards=max(2, spark.sparkContext.defaultParallelism))
+    built = graph.build(base(spark, sf), "euclidean", ef_construction=64)
     built.write.mode("overwrite").parquet(path)
     return spark.read.schema(built.schema).parquet(path)
 
 
-def _held(spark, sf) -> list[tuple]:
-    return [(r["qid"], r["vec"]) for r in asked(spark, sf).collect()]
-
-
 @query()
 def ann_search(spark, sf):
-    return graph.search(_graphs(spark, sf), _held(spark, sf), 10, 64)
+    return graph.search(_graphs(spark, sf), asked(spark, sf), 10, 64)
 
 
 @query()
 def ann_trace(spark, sf):
-    return graph.trace(_graphs(spark, sf), _held(spark, sf), 10, 64)
+    return graph.trace(_graphs(spark, sf), asked(spark, sf), 10, 64)
 
 
 @query()
@@ -425,7 +463,7 @@ def crc32_check(spark, sf):
     return rows.select("name", F.crc32(F.col("data").cast("binary")).alias("crc"))
 
 
-@query()
+@query("SELECT vec_id + 1 AS seq, 'upsert' AS kind, CAST(vec_id AS VARCHAR) AS id, CAST(unnest(range(len(embedding))) AS BIGINT) AS d, round(unnest(embedding)::DOUBLE, 6) + 0.0 AS x FROM embeddings")
 def wal_roundtrip(spark, sf):
     """Embeddings written as frames and parsed again."""
     ops = base(spark, sf).select((F.col("vid") + 1).alias("seq"), F.lit("upsert").alias("kind"), F.col("vid").cast("string").alias("id"), "vec")
@@ -437,24 +475,24 @@ def wal_roundtrip(spark, sf):
             got = wal.parse(b"".join(map(bytes, pdf["frame"])), 64)
             yield pd.DataFrame([(s, k, i, v) for _, s, k, i, v in got.ops], columns=["seq", "kind", "id", "vec"])
 
-    return wal.frames(ops).mapInPandas(run, "seq long, kind string, id string, vec array<float>")
+    back = wal.frames(ops).mapInPandas(run, "seq long, kind string, id string, vec array<float>")
+    return back.select("seq", "kind", "id", F.posexplode("vec").alias("d", "x")).withColumns({"d": F.col("d").cast("long"), "x": K.rounded(F.col("x").cast("double"))})
 
 
-@query()
+@query("SELECT 'v' || vec_id AS id, CAST(unnest(range(len(embedding))) AS BIGINT) AS d, round(unnest(embedding)::DOUBLE, 6) + 0.0 AS x FROM embeddings")
 def stream_upserts(spark, sf):
-    """Live state kept by a stream that upserts micro-batches of the event log into a store, as (id, count of ids)."""
+    """What a store holds after a stream has upserted every vector in micro-batches: id, d, x.  Ids are distinct, so the state
+    doesn't depend on the order in which files are read; overwriting is tested with ordered batches."""
     import uuid
 
+    from halyard.sources import jsonl
     from halyard.streaming.store import VectorStore, ingest
 
     root = f"{shared_dir(spark)}/halyard/stream-{uuid.uuid4().hex}"
-    vectors = base(spark, sf).select(F.concat(F.lit("v"), F.col("vid") % 100).alias("id"), "vec")
-    vectors.repartition(4).write.json(f"{root}/in")
+    base(spark, sf).select(F.concat(F.lit("v"), "vid").alias("id"), "vec").repartition(4, "vid").write.json(f"{root}/in")
     store = VectorStore(spark, f"{root}/store", dim=64)
-    from halyard.sources import jsonl
-
     ingest(jsonl.read_stream(spark, f"{root}/in", 2), store, f"{root}/checkpoint").awaitTermination()
-    out = store.live().select("id", F.size("vec").alias("dim"))
+    out = store.live().select("id", F.posexplode("vec").alias("d", "x")).select("id", F.col("d").cast("long").alias("d"), K.rounded(F.col("x").cast("double")).alias("x"))
     store.close()
     return out
 

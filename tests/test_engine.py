@@ -157,16 +157,27 @@ def test_gate_and_state_follow_a_mirror(spark):
 
 
 def test_log_frames(spark, tmp_path):
-    good = wal.encode(1, "upsert", "alpha", [1.5, -2.25, 3.125]) + wal.encode(2, "delete", "alpha") + wal.encode(3, "upsert", "β-unicode", [0, 0, 0])
-    p = wal.parse(good, 3)
-    assert [(o[1], o[2], o[3], o[4]) for o in p.ops] == [(1, "upsert", "alpha", [1.5, -2.25, 3.125]), (2, "delete", "alpha", None), (3, "upsert", "β-unicode", [0, 0, 0])] and not p.torn
-    torn = wal.parse(good[:-5], 3)
-    assert len(torn.ops) == 2 and torn.torn
-    flipped = bytearray(good)
-    flipped[len(wal.encode(1, "upsert", "alpha", [0, 0, 0])) + 9] ^= 1
-    assert len(wal.parse(bytes(flipped), 3).ops) == 1 and wal.parse(b"", 3).ops == []
-    (tmp_path / "a.log").write_bytes(good)
-    assert wal.read(spark, str(tmp_path / "a.log"), 3).count() == 3
+    ops = [(11 + i, "delete" if i % 4 == 3 else "upsert", f"né {i % 5} 日", None if i % 4 == 3 else [i / 8, -i / 2]) for i in range(9)]
+    frames = [wal.encode(*op) for op in ops]
+    good = b"".join(frames)
+    ends = np.cumsum([len(f) for f in frames]).tolist()
+    p = wal.parse(good, 2)
+    assert [op[1:] for op in p.ops] == ops and [op[0] for op in p.ops] == [0, *ends[:-1]] and not p.torn
+    # cut off anywhere or with a bit turned anywhere, what lies before stays readable
+    for at in range(0, len(good), 7):
+        whole = sum(e <= at for e in ends)
+        cut = wal.parse(good[:at], 2)
+        assert len(cut.ops) == whole and cut.valid_bytes == ([0, *ends][whole]) and cut.torn == (at != cut.valid_bytes)
+        turned = bytearray(good)
+        turned[at] ^= 16
+        assert len(wal.parse(bytes(turned), 2).ops) == whole
+    path = f"{tmp_path}/a.log"
+    (tmp_path / "a.log").write_bytes(good[: ends[5] + 3])
+    assert wal.read(spark, path, 2).count() == 6
+    assert wal.repair(spark, path, 2) == 3 and (tmp_path / "a.log").read_bytes() == good[: ends[5]] and wal.repair(spark, path, 2) == 0
+    # broken off between its steps
+    (tmp_path / "a.log").rename(tmp_path / "a.log.repaired")
+    assert wal.repair(spark, path, 2) == 0 and wal.read(spark, path, 2).count() == 6
 
 
 def test_store_lifecycle(spark, tmp_path):
@@ -197,6 +208,143 @@ def test_store_lifecycle(spark, tmp_path):
     s.close()
 
 
+def test_pointer_survives_a_crash_at_any_step(spark, tmp_path, monkeypatch):
+    from halyard.sources.fs import Files
+
+    path = f"file://{tmp_path}/store"
+    rows = lambda x: spark.createDataFrame([("a", [x, 0.0]), ("b", [3.0, x])], "id string, vec array<float>")
+    for step in ("write_bytes", "rename", "delete"):
+        s = VectorStore(spark, path, dim=2)
+        s.upsert(rows(1.0))
+        s.checkpoint()
+        s.upsert(rows(2.0))
+        before = {r.id: r.vec for r in s.live().collect()}
+        with monkeypatch.context() as m:
+            m.setattr(Files, step, lambda *a: (_ for _ in ()).throw(OSError("crash")))
+            with pytest.raises(OSError, match="crash"):
+                s.checkpoint()
+        s.close()
+        s = VectorStore(spark, path)
+        assert {r.id: r.vec for r in s.live().collect()} == before, step
+        s.upsert(rows(5.0))
+        s.checkpoint()
+        assert s.get("a") is not None and s.sizes()["live"] == 2
+        s.close()
+
+
+@pytest.mark.parametrize("quantization", ["sq8", "sq4", "pq"])
+def test_calibration_is_made_once_and_kept(spark, tmp_path, monkeypatch, quantization):
+    g = np.random.default_rng(3)
+    x = g.normal(size=(300, 8)).astype(np.float32)
+    rows = spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate(x)], "id string, vec array<float>")
+    s = VectorStore(spark, f"file://{tmp_path}/store", dim=8, metric="euclidean", quantization=quantization, pq_subspaces=4)
+    with pytest.raises(ValueError, match="empty"):
+        s.calibrate()
+    s.upsert(rows)
+    exact = {r.id: r.vec for r in s.encoded().collect()}
+    assert np.allclose(exact["v7"], x[7])
+    s.calibrate()
+    with pytest.raises(RuntimeError, match="already"):
+        s.calibrate()
+    coded = {r.id: r.vec for r in s.encoded().collect()}
+    assert 0 < np.abs(np.array([coded[f"v{i}"] for i in range(300)]) - x).max() < 2
+    s.close()
+    monkeypatch.setattr(PQ, "train", None)
+    s = VectorStore(spark, f"file://{tmp_path}/store")
+    assert {r.id: r.vec for r in s.encoded().collect()} == coded
+    codes = [3] * (4 if quantization == "pq" else 8)
+    assert s.upsert_codes(spark.createDataFrame([("c", codes)], "id string, codes array<int>")) == 1 and len(s.get("c")) == 8
+    other = VectorStore(spark, f"file://{tmp_path}/other", dim=3, quantization=quantization)
+    import json
+
+    made = json.loads(s.files.get(f"{s.path}/calibration"))
+    with pytest.raises(ValueError, match="dimension mismatch"):
+        other.adopt(made)
+    s.close()
+    other.close()
+    with pytest.raises(ValueError, match="nothing to calibrate"):
+        VectorStore(spark, f"file://{tmp_path}/plain", dim=2).calibrate()
+
+
+def test_store_searches_its_graphs(spark, tmp_path):
+    g = np.random.default_rng(5)
+    x = g.normal(size=(400, 16)).astype(np.float32)
+    s = VectorStore(spark, f"file://{tmp_path}/store", dim=16, metric="euclidean")
+    s.upsert(spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate(x)], "id string, vec array<float>"))
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(20)], "qid long, vec array<float>")
+    exact = {(r.qid, r.vid) for r in s.search(q, 10).collect()}
+    assert s.graphs() is None and {(r.qid, r.vid) for r in s.search(q, 10, ef=64).collect()} == exact
+    s.index()
+    near = {(r.qid, r.vid) for r in s.search(q, 10, ef=64).collect()}
+    few = {(r.qid, r.vid) for r in s.search(q, 10, ef=10).collect()}
+    assert len(near & exact) >= 0.95 * len(exact) and len(few) == 200 and len(few & exact) <= len(near & exact)
+    even = {r.vid for r in s.search(q, 10, F.expr("id like '%0'"), ef=64).collect()}
+    assert all(v.endswith("0") for v in even)
+    hits, traced = s.search_with_trace(q, 10, 64)
+    assert {(r.qid, r.vid) for r in hits.collect()} == near
+    seen = {r.qid: r.visited for r in graph.visited(traced).collect()}
+    assert len(seen) == 20 and all(10 <= n <= 500 for n in seen.values())
+    s.remove(["v0"])
+    assert s.graphs() is None and "v0" not in {r.vid for r in s.search(q, 10, ef=64).collect()}
+    s.close()
+
+
+def test_stored_graphs_are_checked():
+    g = np.random.default_rng(6)
+    h = graph.Hnsw("cosine", 4, 20)
+    for i in range(60):
+        h.add(f"n{i % 55}", g.normal(size=5))
+    data = h.dumps()
+    back = graph.Hnsw.loads(data)
+    q = g.normal(size=5)
+    assert back.search(q, 7, 20) == h.search(q, 7, 20) and back.dead == h.dead and back.links == h.links
+    back.add("new", g.normal(size=5))
+    assert graph.Hnsw.loads(graph.Hnsw("dot").dumps()).search([1.0], 3) == []
+    with pytest.raises(ValueError, match="damaged"):
+        graph.Hnsw.loads(data[:-1] + bytes([data[-1] ^ 1]))
+    for change, what in ((lambda x: x.links[3][0].append(99), "nowhere"), (lambda x: x.levels.append(0), "agree"), (lambda x: setattr(x, "entry", 77), "entry")):
+        bad = graph.Hnsw.loads(data)
+        change(bad)
+        with pytest.raises(ValueError, match=what):
+            graph.Hnsw.loads(bad.dumps())
+
+
+def test_large_query_sets_go_as_blocks(spark, monkeypatch):
+    g = np.random.default_rng(7)
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(g.normal(size=(200, 8)))], "vid long, vec array<float>")
+    graphs = graph.build(base, "euclidean", 8, 40, 2).cache()
+    q = base.select(F.col("vid").alias("qid"), "vec").limit(30)
+    want = sorted(map(tuple, graph.search(graphs, q, 5, 40).collect()))
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(knn._collected, "__defaults__", (300,))
+    assert sorted(map(tuple, graph.search(graphs, q, 5, 40).collect())) == want and len(want) == 150
+
+
+def test_replayed_batches_are_written_once(spark, tmp_path):
+    s = VectorStore(spark, f"file://{tmp_path}/store", dim=1, checkpoint_every=0)
+    rows = spark.createDataFrame([("a", [1.0])], "id string, vec array<float>")
+    assert [s.upsert(rows, ("one", n)) for n in (0, 0, 1, 1, 0)] == [1, 0, 1, 0, 0] and s.upsert(rows, ("two", 0)) == 1
+    s.checkpoint()
+    assert s.upsert(rows, ("one", 1)) == 0 and s.sizes() == {"live": 1, "deleted": 2}
+    s.close()
+
+
+def test_pool_closes_after_what_is_under_way(spark, tmp_path):
+    s = VectorStore(spark, f"file://{tmp_path}/store", dim=1, metric="euclidean")
+    s.upsert(spark.createDataFrame([(f"v{i}", [float(i)]) for i in range(5)], "id string, vec array<float>"))
+    pool = SearchPool(s)
+    found = [pool.search_async(spark.createDataFrame([(0, [float(i)])], "qid long, vec array<float>"), 1) for i in range(5)]
+    pool.close()
+    assert [f.result()[0]["vid"] for f in found] == [f"v{i}" for i in range(5)]
+    with pytest.raises(RuntimeError, match="closed"):
+        pool.search_async(None)
+    s.close()
+
+
+def test_training_rows_are_drawn_at_any_size():
+    assert PQ.SPACE * PQ.TRAIN_ROWS // 10**13 * 10**13 // PQ.SPACE in (PQ.TRAIN_ROWS - 1, PQ.TRAIN_ROWS)
+
+
 def test_stream_into_store(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i in range(3):
