@@ -51,6 +51,17 @@ def row_key(*cols: str) -> Column:
     return F.concat_ws("-", F.hex(F.xxhash64(*tagged)), F.hex(F.xxhash64(F.lit(17), *reversed(tagged))))
 
 
+def own(df: DataFrame, *names: str) -> dict[str, str]:
+    """Names for columns of an operator's own that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, {}
+    for n in names:
+        own_name = f"_{n}"
+        while own_name.lower() in taken:
+            own_name = "_" + own_name
+        out[n] = own_name
+    return out
+
+
 def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose ``column`` holds about ``limit`` bytes each; no row is dropped."""
     col = batch.column(column)

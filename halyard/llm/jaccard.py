@@ -6,9 +6,11 @@ from the start, named by a hash of the set.  Links between classes are found in
 1. Stars: classes that agree in one of a few minimum hashes are compared with one leader each.  This ties
    large groups of near copies together by about as many comparisons as they have members.
 2. Completion, which loses nothing: two sets at the threshold share a shingle of their prefixes (the rarest
-   shingles of each; the lengths of prefixes follow from the threshold, and that of the smaller set is shorter).  Classes that share a prefix shingle
-   but are not tied yet meet in tiles of (shingle, size band): sizes further apart than the threshold allows never
-   meet, and the bits in which two hashed bitmaps differ bound the overlap from above.  What passes is compared.
+   shingles of each; the lengths of prefixes follow from the threshold, and that of the smaller set is shorter).  Classes
+   that share a prefix shingle but are not tied yet meet in tiles of (shingle, size band): sizes further apart than the
+   threshold allows never meet, and the bits in which two hashed bitmaps differ bound the overlap from above.  Rows that
+   the bitmaps allow a partner which isn't tied get their arrays and are compared, tiles that share them together.  What
+   is compared in one place gives the links that tie it: fewer than it has rows, whatever the number of pairs.
 
 Comparisons are exact.  Frequent shingles come last in the order, so that a line in a third of all documents
 is nobody's prefix.  Passes over the texts are vectorised and recompute sets rather than store them; arrays
@@ -25,21 +27,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import NONSPACE, _ODD, Words, bit_filter, drop_staged, mix64, row_key, shingle_hashes, stage, steps
+from halyard.llm.common import NONSPACE, _ODD, Words, bit_filter, drop_staged, mix64, own, row_key, shingle_hashes, stage, steps
 from halyard.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
 LEAST_BITS, MOST_BITS, HASHES, FILTER_BITS = 512, 1 << 13, 6, 24
-#: Hubs of a large group, and rounds with other hubs each.
-HUBS, HUB_ROUNDS = 16, 2
-#: Groups of more rows are cut into size bands.
-BANDED = 512
-#: Tiles of more rows than SMALL are compared block by block, smaller ones many at once.
+#: Rows from which a tile is dealt out by parts of that many, and rows of a family that are compared in one task.
+PART, FAMILY = 2048, 4096
+#: Tiles of more rows than SMALL are compared row by row, smaller ones many at once.
+SMALL = 64
+#: Pairs of one leader that are compared in one task.
+LEADER_PAIRS = 1000
 #: A shingle is frequent from this share of the documents (and this count) on: their number is bounded by the
 #: mean set size over the share, whatever the size of the corpus.
-SMALL = 64
-#: Pairs of one family that are compared in one task.
-FAMILY_PAIRS = 20_000
 FREQUENT_SHARE, FREQUENT_LEAST = 2e-4, 32
 #: Shingles counted in a worker at once; those met once are forgotten beyond it.
 COUNTED = 1 << 21
@@ -266,50 +266,67 @@ def _fitting(bits: Bitmaps, n, p, q, percent: int) -> np.ndarray:
     return 100 * overlap >= percent * (total - overlap)
 
 
-def _near_pairs(tile, name, comp, n, bits, home, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of many small tiles at once: rows are in order of tile and size, and are compared with the d-th next."""
-    left = np.arange(len(n))
-    for d in range(1, len(n)):
-        left = left[left + d < len(n)]
-        left = left[(tile[left] == tile[left + d]) & (100 * n[left] >= percent * n[left + d])]
-        if not len(left):
-            return
-        p = left[(comp[left] != comp[left + d]) & (home[left] | home[left + d])]
-        fit = _fitting(bits, n, p, p + d, percent)
-        if fit.any():
-            yield name[p[fit]], name[p[fit] + d]
-
-
-def _hub_pairs(name, comp, n, bits, home, percent: int, salt: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one tile with one of its HUBS rows of least salted hash; rows are in order of size."""
-    with np.errstate(over="ignore"):
-        order = np.argsort(mix64(name.view(np.uint64) ^ (_ODD * np.uint64(salt + 1))))
-    for h in order[:HUBS].tolist():
-        lo, hi = np.searchsorted(n, [-(-percent * n[h] // 100), n[h] * 100 // percent + 1])
-        q = np.arange(lo, hi)
-        q = q[(comp[q] != comp[h]) & (home[q] | home[h])]
-        q = q[_fitting(bits, n, np.full(len(q), h), q, percent)]
-        if len(q):
-            yield np.full(len(q), name[h]), name[q]
-
-
-def _tile_pairs(name, comp, n, bits, home, percent: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one tile whose bitmaps leave the threshold possible; rows are in order of size."""
-    for i in range(0, len(n), block):
-        a = slice(i, i + block)
-        # sizes rise: blocks whose least size is too large for this block's largest end the row of blocks
-        stop = int(np.searchsorted(n, n[a][-1] * 100 // percent, side="right"))
-        for j in range(i, stop, block):
-            b = slice(j, min(j + block, stop))
-            ok = (comp[a][:, None] != comp[b][None]) & (home[a][:, None] | home[b][None]) & (100 * n[a][:, None] >= percent * n[b][None])
-            if i == j:
-                ok &= np.arange(len(n[a]))[:, None] < np.arange(len(n[b]))[None]
-            x, y = np.nonzero(ok)
-            for lo in range(0, len(x), 1 << 15):
-                p, q = x[lo : lo + (1 << 15)] + i, y[lo : lo + (1 << 15)] + j
-                fit = _fitting(bits, n, p, q, percent)
-                if fit.any():
-                    yield name[p[fit]], name[q[fit]]
+class Tile:
+    """Rows of one tile or of several small ones, in order of tile and size.  Two rows may meet if they are of one tile, their
+    classes aren't tied, one of them is at home in the size band and, in a tile that is dealt out, they are of different parts."""
+
+    def __init__(self, rows: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(rows)
+        self.table = t
+        self.token, self.band, self.sub, self.name, self.comp, self.n, self.side, self.part = (t.column(c).to_numpy().copy() for c in (*_TILE, "name", "comp", "n", "side", "part"))
+        self.tile = np.cumsum(np.concatenate([[True], (self.token[1:] != self.token[:-1]) | (self.band[1:] != self.band[:-1]) | (self.sub[1:] != self.sub[:-1])]))
+
+    def may(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Whether rows p and q of one tile, p not the larger, may meet."""
+        # a sub-tile names its two parts; within one part all meet, else rows of different parts do
+        across = (self.sub[p] >> 16 == self.sub[p] & 0xFFFF) | (self.part[p] != self.part[q])
+        return across & (self.comp[p] != self.comp[q]) & ((self.side[p] == 0) | (self.side[q] == 0))
+
+    def near(self, bits: Bitmaps, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs that fit of many small tiles at once: each row is compared with the d-th next."""
+        left = np.arange(len(self.n))
+        for d in range(1, len(self.n)):
+            left = left[left + d < len(self.n)]
+            left = left[(self.tile[left] == self.tile[left + d]) & (100 * self.n[left] >= percent * self.n[left + d])]
+            if not len(left):
+                return
+            p = left[self.may(left, left + d)]
+            p = p[_fitting(bits, self.n, p, p + d, percent)]
+            if len(p):
+                yield p, p + d
+
+    def fits(self, bits: Bitmaps, percent: int, i: int, q: np.ndarray) -> np.ndarray:
+        """Those of the rows q with which row i may meet the threshold, in one tile."""
+        lo, hi = np.searchsorted(self.n, [-(-percent * self.n[i] // 100), self.n[i] * 100 // percent + 1])
+        q = q[(q >= lo) & (q < hi) & (q != i)]
+        q = q[self.may(np.full(len(q), i), q)]
+        return q[_fitting(bits, self.n, np.full(len(q), i), q, percent)]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[list[pa.RecordBatch], bool]]:
+    """Rows sorted by ``keys`` as (slices, alone): a tile of over SMALL rows comes alone, smaller ones by a few thousand rows."""
+    held, size, tile, rows, now = [], 0, [], 0, None
+    for batch in batches:
+        cols = [batch.column(k).to_numpy() for k in keys]
+        cuts = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in cols])])).tolist() if batch.num_rows else []
+        for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+            key = tuple(c[lo] for c in cols)
+            if now != key:
+                if rows > SMALL:
+                    yield tile, True
+                elif rows > 1:
+                    held, size = held + tile, size + rows
+                    if size > 4096:
+                        yield held, False
+                        held, size = [], 0
+                tile, rows, now = [], 0, key
+            tile.append(batch.slice(lo, hi - lo))
+            rows += hi - lo
+    if rows > SMALL:
+        yield tile, True
+        tile = []
+    if held or len(tile):
+        yield held + tile, False
 
 
 def _bounded(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
@@ -328,83 +345,93 @@ def _bounded(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long")
 
 
-def _candidates(met: DataFrame, about: DataFrame, comps: DataFrame | None, percent: int, hubs: int | None = None) -> DataFrame:
-    """Distinct (a, b) with a < b: classes not tied yet that share a prefix shingle and pass the bitmap bound.
+_TILE = ("token", "band", "sub")
+
+
+def _tiles(met: DataFrame, about: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """token, band, sub, name, comp, n, side, part, bits: the rows of all tiles in which two classes may meet that aren't tied.
 
-    With ``hubs``, a number that salts their choice, only pairs with one of a few hubs of each large group: these
-    tie most of it together at a cost in proportion to its size, and leave little to the complete round.
+    A class is at home in its size band and a visitor in the next; tiles with nobody at home or one component go
+    before bitmaps are sent.  A tile of more than PART rows is dealt out: every two parts, and each with itself, are a tile.
     """
-    c = met.withColumn("comp", F.col("name")) if comps is None else met.join(comps.withColumnRenamed("node", "name"), "name", "left").withColumn("comp", F.coalesce("comp", "name"))
-    c = stage(c, "met")
-    apart = c.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo != hi").select("token", "rows")
-    if hubs is not None:
-        apart = apart.where(F.col("rows") > SMALL)
-    # small groups are one tile; a large one has a tile for each size band, with the band below as visitors
-    large = F.col("rows") > BANDED
+    c = met.join(comps.withColumnRenamed("node", "name"), "name", "left").withColumn("comp", F.coalesce("comp", "name")).join(about.select("name", "n"), "name")
     band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent))) + 1e-9).cast("int")
-    full = c.join(apart, "token").join(about, "name").withColumn("side", F.explode(F.when(large, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).withColumn("band", F.when(large, band + F.col("side")).otherwise(-1))
+    rows = stage(c.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band + F.col("side")), "rows")
+    apart = rows.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("side").alias("home"), F.count(F.lit(1)).alias("rows"))
+    apart = apart.where("lo != hi and home = 0").select("token", "band", F.least(F.lit(0x7FFF), F.ceil(F.col("rows") / PART)).cast("int").alias("parts"))
+    full = rows.join(apart, ["token", "band"]).withColumn("part", F.pmod(F.xxhash64("name", "token"), "parts").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.shiftleft(F.least(x, "part"), 16) + F.greatest(x, F.col("part")))
+    full = full.withColumn("sub", F.explode(F.when(F.col("parts") > 1, pairs).otherwise(F.array(F.lit(0)))))
+    return full.join(about.select("name", "bits"), "name").select(*_TILE, "name", "comp", "n", "side", "part", "bits")
+
+
+def _clumps(tiles: DataFrame, percent: int) -> DataFrame:
+    """The rows of tiles, without bitmaps, that the bitmaps allow a pair with another of their tile.
+
+    What pairs hang together within a tile is a clump and gets a name from its members in place of the token, so
+    that classes which meet in many tiles but only with each other are one clump.
+    """
+    cols = ["band", "sub", "name", "comp", "n", "side", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows, alone):
-            t = pa.Table.from_batches(rows)
-            bits = Bitmaps(t.column("bits"))
-            name, comp, n, side, token, b = (t.column(k).to_numpy() for k in ("name", "comp", "n", "side", "token", "band"))
-            if hubs is not None:
-                found = _hub_pairs(name, comp, n, bits, side == 0, percent, hubs)
-            elif alone:
-                found = _tile_pairs(name, comp, n, bits, side == 0, percent)
+        for rows, alone in _gathered(batches, _TILE):
+            t = Tile(rows)
+            bits = Bitmaps(t.table.column("bits"))
+            m = len(t.n)
+            lot, some = np.arange(m), np.zeros(m, bool)
+            if alone:
+                for i in range(m):
+                    # later rows only: each pair once
+                    q = np.append(t.fits(bits, percent, i, np.arange(i + 1, m)), i)
+                    if len(q) > 1:
+                        some[q] = True
+                        lots = np.unique(lot[q])
+                        if len(lots) > 1:
+                            lot[np.isin(lot, lots)] = lots[0]
             else:
-                tile = np.cumsum(np.concatenate([[True], (token[1:] != token[:-1]) | (b[1:] != b[:-1])]))
-                found = _near_pairs(tile, name, comp, n, bits, side == 0, percent)
-            # the same classes meet in several tiles
-            found = [np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1) for a, b in found]
-            if found:
-                a, b = np.unique(np.concatenate(found), axis=0).T
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        # tiles of up to SMALL rows gather until a few thousand rows are held; a larger tile is done alone
-        held, size, tile, rows, now = [], 0, [], 0, None
-        for batch in batches:
-            token, b = batch.column("token").to_numpy(), batch.column("band").to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (b[1:] != b[:-1])])).tolist() if len(token) else []
-            for lo, hi in zip(cuts, [*cuts[1:], len(token)], strict=True):
-                if now != (token[lo], b[lo]):
-                    if rows > SMALL:
-                        yield from pairs(tile, True)
-                    elif rows > 1:
-                        held, size = held + tile, size + rows
-                        if size > 4096:
-                            yield from pairs(held, False)
-                            held, size = [], 0
-                    tile, rows, now = [], 0, (token[lo], b[lo])
-                tile.append(batch.slice(lo, hi - lo))
-                rows += hi - lo
-        if rows > SMALL:
-            yield from pairs(tile, True)
-            tile = []
-        if held or len(tile):
-            yield from pairs(held + tile, False)
-
-    tiles = full.select("token", "band", "name", "comp", "n", "side", "bits").repartition("token", "band").sortWithinPartitions("token", "band", "n", "name")
-    return tiles.mapInArrow(run, "a long, b long").distinct()
-
-
-def _links(pairs: DataFrame, docs: DataFrame, leads: DataFrame, size: int, kind: np.ndarray, percent: int, seed: int) -> DataFrame:
-    """The pairs of classes that meet the threshold, by intersecting their sorted arrays.
+                pairs = list(t.near(bits, percent))
+                p, q = (np.concatenate([x[k] for x in pairs]) if pairs else lot[:0] for k in (0, 1))
+                some[p] = some[q] = True
+                while len(p):
+                    before = lot.copy()
+                    np.minimum.at(lot, p, lot[q])
+                    np.minimum.at(lot, q, lot[p])
+                    if (before == lot).all():
+                        break
+            order = np.flatnonzero(some)[np.argsort(lot[some], kind="stable")]
+            head = np.flatnonzero(np.diff(lot[order], prepend=-1))
+            with np.errstate(over="ignore"):
+                own = mix64(t.name[order].view(np.uint64) * _ODD + t.side[order].astype(np.uint64))
+                clump = mix64(np.add.reduceat(own, head)) if len(head) else own
+            clump = np.repeat(clump, np.diff(np.append(head, len(order)))).view(np.int64)
+            left = t.table.select(cols).take(pa.array(order)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.array(clump), *(pa.array(left.column(c).to_numpy()) for c in cols)], names=["token", *cols])
+
+    met = tiles.repartition(*_TILE).sortWithinPartitions(*_TILE, "n", "name").mapInArrow(run, "token long, band int, sub int, name long, comp long, n long, side int, part int")
+    return met.distinct()
+
+
+def _families(clumps: DataFrame) -> DataFrame:
+    """``clumps`` with those that share classes made one tile, in which each class is once, up to FAMILY rows."""
+    hung = clumps.groupBy(*_TILE).agg(F.min("name").alias("a"))
+    family = components(clumps.join(hung, list(_TILE)).select("a", F.col("name").alias("b"))).withColumnRenamed("node", "name").withColumnRenamed("comp", "family")
+    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("rows"))
+    known = clumps.join(family.join(sizes, "family"), "name", "left")
+    small = F.col("rows") <= FAMILY
+    keep = {"token": F.col("family"), "band": F.lit(-1), "sub": F.lit(0), "side": F.lit(0), "part": F.lit(0)}
+    return known.select(*(F.when(small, keep[c]).otherwise(F.col(c)).alias(c) if c in keep else c for c in clumps.columns)).distinct()
+
+
+def _arrays(docs: DataFrame, names: DataFrame, leads: DataFrame, size: int, kind: np.ndarray) -> DataFrame:
+    """name, set: the sorted array of each class in ``names``, packed.
 
     Arrays come from one row per class (``leads``: name, key); a bitmap of fixed size tells the pass over the
-    texts whose arrays to send, the joins are exact.
+    texts whose arrays to send, the join is exact.
     """
-    spark = docs.sparkSession
-    pairs = stage(pairs, "pairs")
-    if pairs.isEmpty():
-        return pairs
-    names = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-    keys = leads.join(names, "name").select(F.xxhash64("key").alias("h"), "key", "name")
-    keys = stage(keys, "keys")
-    wanted = spark.sparkContext.broadcast(bit_filter(keys.select("h"), FILTER_BITS))
+    keys = stage(leads.join(names.distinct(), "name").select(F.xxhash64("key").alias("h"), "key", "name"), "keys")
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(keys.select("h"), FILTER_BITS))
 
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = wanted.value.passing(batch.column("h").to_numpy())
             batch = batch.take(pa.array(rows))
@@ -414,54 +441,86 @@ def _links(pairs: DataFrame, docs: DataFrame, leads: DataFrame, size: int, kind:
                 got = [data[8 * a : 8 * b] for a, b in zip(s.first[:-1], s.first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(got, pa.binary())], names=["key", "set"])
 
-    sets = docs.select("key", F.xxhash64("key").alias("h"), "text").mapInArrow(arrays, "key string, set binary")
+    sets = docs.select("key", F.xxhash64("key").alias("h"), "text").mapInArrow(run, "key string, set binary")
     sets = stage(sets.join(keys.select("key", "name"), "key").select("name", "set").dropDuplicates(["name"]), "sets")
+    drop_staged(keys)
+    return sets
+
+
+def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
 
-    # pairs of a family (a component of the pairs) meet in one task, where each of its arrays goes once; a
-    # family of very many pairs is dealt out by their first class
-    family = components(pairs)
-    tied = pairs.join(family.select(F.col("node").alias("a"), "comp"), "a")
-    counts = tied.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
-    tied = stage(tied.join(counts, "comp").select("comp", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / FAMILY_PAIRS)).alias("sub"), "a", "b"), "tied")
-    members = tied.select("comp", "sub", F.col("a").alias("name")).union(tied.select("comp", "sub", "b")).distinct()
-    nothing = F.lit(None).cast("binary")
-    rows = members.join(sets, "name").select("comp", "sub", F.lit(0).alias("kind"), F.col("name").alias("a"), F.col("name").alias("b"), "set")
-    rows = rows.unionByName(tied.select("comp", "sub", F.lit(1).alias("kind"), "a", "b", nothing.alias("set")))
+def _links(pairs: DataFrame, arrays, percent: int) -> DataFrame:
+    """The pairs (leader a, b) that meet the threshold, by intersecting sorted arrays.
+
+    A leader's pairs are dealt out by LEADER_PAIRS; its array goes once to each of these.
+    """
+    pairs = stage(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
+    sets = arrays(pairs.select(F.col("a").alias("name")).union(pairs.select("b")))
+    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEADER_PAIRS).alias("parts"))
+    dealt = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("sub"), "b")
+    heads = counts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("sub"))
+    heads = heads.join(sets.withColumnRenamed("name", "a"), "a").select("a", "sub", F.lit(0).alias("kind"), F.col("a").alias("b"), "set")
+    rows = heads.unionByName(dealt.join(sets.withColumnRenamed("name", "b"), "b").select("a", "sub", F.lit(1).alias("kind"), "b", "set"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, arrays = None, {}
+        own = None
         for batch in batches:
-            a, b = [], []
-            cols = [batch.column(c).to_pylist() for c in ("comp", "sub", "kind", "a", "b", "set")]
-            for comp, sub, k, x, y, data in zip(*cols, strict=True):
-                if (comp, sub) != now:
-                    now, arrays = (comp, sub), {}
+            found = []
+            for a, k, b, data in zip(*(batch.column(c).to_pylist() for c in ("a", "kind", "b", "set")), strict=True):
+                array = np.frombuffer(data, np.uint64)
                 if not k:
-                    arrays[x] = np.frombuffer(data, np.uint64)
-                    continue
-                p, q = arrays[x], arrays[y]
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                if 100 * both >= percent * (len(p) + len(q) - both):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    met = rows.repartition("comp", "sub").sortWithinPartitions("comp", "sub", "kind")
-    links = stage(met.mapInArrow(compare, "a long, b long"), "verified")
-    drop_staged(tied)
-    for old in (sets, keys, pairs):
-        drop_staged(old)
+                    own = array
+                elif _linked(own, array, percent):
+                    found.append((a, b))
+            cols = zip(*found, strict=True) if found else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["a", "b"])
+
+    links = stage(rows.repartition("a", "sub").sortWithinPartitions("a", "sub", "kind").mapInArrow(compare, "a long, b long"), "verified")
+    drop_staged(sets)
+    drop_staged(pairs)
     return links
 
 
-def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, kind: np.ndarray = NONSPACE) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs``.
+def _tile_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that tie what tiles hold: within a tile every pair that the bitmaps allow is compared unless links found there
+    tie it already, so a tile gives fewer links than it has rows, and loses no component."""
 
-    Documents link when 100 * intersection >= ``percent`` * union of their shingle sets; component_id is the
-    smallest doc_id reachable.  Null, empty and wordless texts have no shingles and link with nothing.  Equal
-    sets link, repeated rows too.  A null doc_id can be linked but never names a component that has another id.
-    An empty table gives an empty result.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, alone in _gathered(batches, _TILE):
+            t = Tile(rows)
+            arrays = [np.frombuffer(x.as_py(), np.uint64) for x in t.table.column("set")]
+            bits = Bitmaps(pa.array([_bitmap(x) for x in arrays], pa.binary()))
+            found = []
+
+            def compare(p: int, q: int) -> None:
+                # t.comp changes as links tie classes of this tile
+                if t.comp[p] != t.comp[q] and _linked(arrays[p], arrays[q], percent):
+                    found.append((t.name[p], t.name[q]))
+                    here = t.tile == t.tile[p] if not alone else slice(None)
+                    t.comp[here] = np.where(t.comp[here] == t.comp[q], t.comp[p], t.comp[here])
+
+            if alone:
+                for i in range(len(t.n)):
+                    for j in t.fits(bits, percent, i, np.arange(i + 1, len(t.n))).tolist():
+                        compare(i, j)
+            else:
+                for p, q in t.near(bits, percent):
+                    for i, j in zip(p.tolist(), q.tolist(), strict=True):
+                        compare(i, j)
+            cols = zip(*found, strict=True) if found else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["a", "b"])
+
+    full = rows.join(sets, "name").select(*_TILE, "name", "comp", "n", "side", "part", "set")
+    return stage(full.repartition(*_TILE).sortWithinPartitions(*_TILE, "n", "name").mapInArrow(run, "a long, b long"), "verified")
+
+
+def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, kind: np.ndarray = NONSPACE) -> DataFrame:
+    """doc_id, key (``row_key`` of doc_id and text), n (size of the set), comp (a name of the component) for each row of ``docs``."""
     keyed = docs.select("doc_id", "text", row_key("doc_id", "text").alias("key"))
     for seed in range(4):
         about = stage(_describe(keyed, size, kind, seed), "sets")
@@ -472,29 +531,64 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, kind: np.
         drop_staged(about)
         drop_staged(classes)
     n_docs = classes.agg(F.sum("rows")).first()[0] or 0
+    sizes = classes.select("name", "n", "bits")
+
+    def arrays(names: DataFrame) -> DataFrame:
+        return _arrays(keyed, names, classes.select("name", "key"), size, kind)
 
     # stars: every class that agrees with others in a minimum hash is compared with the least of them
     least = classes.select("name", F.posexplode("least").alias("k", "m"))
     leaders = least.groupBy("k", "m").agg(F.min("name").alias("a"), F.max("name").alias("last")).where("a != last")
     stars = least.join(leaders.select("k", "m", "a"), ["k", "m"]).where("a != name").select("a", F.col("name").alias("b")).distinct()
-    links = _links(_bounded(stars, classes.select("name", "n", "bits"), percent), keyed, classes.select("name", "key"), size, kind, percent, seed)
+    links = _links(_bounded(stars, sizes, percent), arrays, percent)
     comps = components(links)
 
     frequent = _frequent(keyed, size, kind, n_docs)
-    met = _shared_prefixes(keyed, size, kind, percent, seed, frequent)
-    met = stage(met, "met")
-    for salt in (*range(HUB_ROUNDS), None):
-        more = _links(_candidates(met, classes.select("name", "n", "bits"), comps, percent, salt), keyed, classes.select("name", "key"), size, kind, percent, seed)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            comps = components(links)
-
-    rows = about.select("doc_id", "n", "name").join(comps.withColumnRenamed("node", "name"), "name", "left").withColumn("comp", F.coalesce("comp", "name"))
+    met = stage(_shared_prefixes(keyed, size, kind, percent, seed, frequent), "met")
+    rest = stage(_families(stage(_clumps(_tiles(met, sizes, comps, percent), percent), "clumps")), "rest")
+    if not rest.isEmpty():
+        links = links.unionByName(_tile_links(rest, arrays(rest.select("name")), percent))
+        comps = components(links)
+
+    rows = about.select("doc_id", "key", "n", "name").join(comps.withColumnRenamed("node", "name"), "name", "left")
+    out = stage(rows.select("doc_id", "key", "n", F.coalesce("comp", "name").alias("comp")), "groups")
+    for old in (about, classes, met, rest, links, comps):
+        drop_staged(old)
+    return out
+
+
+def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, kind: np.ndarray = NONSPACE) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of ``docs``.
+
+    Documents link when 100 * intersection >= ``percent`` * union of their shingle sets; component_id is the
+    smallest doc_id reachable.  Null, empty and wordless texts have no shingles and link with nothing.  Equal
+    sets link, repeated rows too.  A null doc_id can be linked but never names a component that has another id.
+    An empty table gives an empty result.
+    """
+    rows = groups(docs, size, percent, kind)
     smallest = rows.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     linked = rows.where("n > 0").join(smallest, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, kind: np.ndarray = NONSPACE) -> DataFrame:
+    """``docs`` with one row of each component: of its rows with the smallest doc_id (null last) one.
+
+    Rows are told apart by doc_id and text, so rows that share a doc_id but not a text are judged apart.  Rows
+    without shingles all stay.
+    """
+    key = own(docs, "key")["key"]
+    rows = groups(docs, size, percent, kind).where("n > 0")
+    best = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("best"))
+    each = rows.groupBy("comp", "key").agg(F.count(F.lit(1)).alias("rows"))
+    # rows equal in both stand or fall together, but of several only one stays
+    fate = each.join(best, "comp").select(F.col("key").alias(key), F.when(F.col("key") != F.col("best.key"), "none").when(F.col("rows") > 1, "one").alias("fate")).where("fate is not null")
+    fate = fate.withColumnRenamed("fate", fate_name := own(docs, "fate")["fate"])
+    judged = docs.withColumn(key, row_key("doc_id", "text")).join(fate, key, "left")
+    several = judged.where(F.col(fate_name) == "one").dropDuplicates([key])
+    return judged.where(F.col(fate_name).isNull()).unionByName(several).select(*docs.columns)
+
+
 def brute_force(docs: list[tuple], size: int = SHINGLE, percent: int = PERCENT) -> list[tuple]:
     """The join by plain loops, for tests."""
     import re
