@@ -9,8 +9,9 @@ one with the largest summed marginal and its score is that sum divided by the nu
 Long texts are cut into chains of ``CHAIN`` words, all of which are labelled.  Everything is vectorised over
 chains; memory is bounded by the step size, whatever the length of a text.
 
-Training is on a bounded sample: at most ``per_lang`` labelled rows of each of at most ``max_langs`` languages, of
-texts up to ``max_chars`` characters, chosen by hash.  Prediction reads the text only.
+Training is on a bounded sample: of each language at most ``per_lang`` distinct labelled texts, those of least hash, and of
+each its first ``max_chars`` characters.  All languages are learned; the model takes 256 KB for each.  Prediction reads
+the whole text and only the text.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from halyard.llm.common import _ODD, Words, mix64, steps
+from halyard.llm.common import _ODD, Words, mix64, own, steps
 
 CHAIN = 64
 WEIGHT_BITS = 16
@@ -187,19 +188,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_lang: int = 150, max_langs: int = 32, max_chars: int = 20_000, **kw) -> Model:
-    """Fit on a bounded sample of the labelled rows that aren't held out (see the module's text)."""
-    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= max_chars)).select("text", "lang", "doc_id")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+#: Hashes are drawn from this many numbers.
+_SPACE = 1 << 62
+
+
+def share_below(wanted: int, n: int) -> int:
+    """The hash below which about ``wanted`` of ``n`` distinct values lie; all of them if there are no more."""
+    return _SPACE if n <= wanted else _SPACE * wanted // n
+
+
+def train(docs: DataFrame, per_lang: int = 150, max_chars: int = 20_000, **kw) -> Model:
+    """Fit on a bounded sample of the labelled rows that aren't held out (see the module's text).
+
+    A repeated text counts once.  Nulls in text or lang, and texts without a letter, are left out.
+    """
+    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(_SPACE)).alias("h"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return Model([], np.zeros((1 << WEIGHT_BITS, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
-    # thin by hash before ranking, so that ranking sees a few times per_lang rows whatever the size of the table
-    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
-    keep = F.lit(False)
-    for lang, n in counts.items():
-        keep = keep | ((F.col("lang") == lang) & (h < int(min(1.0, (2 * per_lang + 50) / n) * (1 << 20))))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
-    sample = rows.withColumn("h", h).where(keep).withColumn("r", rank).where(F.col("r") <= per_lang).orderBy("lang", "r").select("text", "lang").collect()
+    # thin by hash before ranking, so that ranking sees a few times per_lang texts whatever the size of the table
+    least = docs.sparkSession.createDataFrame([(lang, share_below(2 * per_lang + 50, n)) for lang, n in sorted(counts.items())], "lang string, below long")
+    few = rows.join(F.broadcast(least), "lang").where("h < below").groupBy("lang", "h").agg(F.min(F.substring("text", 1, max_chars)).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    sample = few.withColumn("r", rank).where(F.col("r") <= per_lang).orderBy("lang", "r").select("text", "lang").collect()
     return fit([r["text"] for r in sample], [r["lang"] for r in sample], **kw)
 
 
@@ -211,15 +222,16 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_p
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in df.columns if c not in (lang, score)]
-    made = df.select(*keep, F.when(F.col(text).rlike(r"\p{L}"), F.lower(text)).otherwise("").alias("_lowered"))
+    lowered = own(df, "lowered")["lowered"]
+    made = df.select(*keep, F.when(F.col(text).rlike(r"\p{L}"), F.lower(text)).otherwise("").alias(lowered))
     schema = T.StructType([*df.select(*keep).schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in steps(batch, "_lowered"):
+            for part in steps(batch, lowered):
                 if m.langs:
-                    best, s = m.predict(part.column("_lowered"))
+                    best, s = m.predict(part.column(lowered))
                 else:
                     best, s = np.full(part.num_rows, -1), np.zeros(part.num_rows)
                 found = pa.array([m.langs[i] if i >= 0 else UNKNOWN for i in best.tolist()], pa.string())
