@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -215,6 +216,22 @@ def bit_filter(hashes: DataFrame, bits: int) -> BitFilter:
     return out
 
 
+def split_by_hash(df: DataFrame, h: Column, keys: DataFrame, bits: int = 25) -> tuple[DataFrame, DataFrame]:
+    """(rows whose hash ``h`` may be among the column ``h`` of ``keys``, the other rows).
+
+    A bitmap of fixed size decides, so of a large table only rows that may have a partner are shuffled to a join.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(bit_filter(keys, bits))
+
+    @F.pandas_udf("boolean")
+    def may(x: pd.Series) -> pd.Series:
+        out = np.zeros(len(x), bool)
+        out[shared.value.passing(x.to_numpy(np.int64))] = True
+        return pd.Series(out)
+
+    return df.where(may(h)), df.where(~may(h))
+
+
 def sql_words(expr: str, pattern: str) -> str:
     """DuckDB: list of matches of ``pattern`` in ``expr``."""
     return f"regexp_extract_all({expr}, '{pattern}')"

@@ -1,9 +1,14 @@
 """Line dedup by content-defined line chunks.
 
-A rolling hash over the hashes of the last ``roll`` lines ends a chunk where it falls on a boundary value, so
-inserted or deleted lines move boundaries only near them.  Multi-line chunks found elsewhere in the corpus are
-candidates; the first occurrence (by doc_id, then place) stays, and a later one is removed once its bytes
-have been compared with the first's.
+A rolling hash over the hashes of ``ROLL`` lines lays a boundary between two lines where it falls on a boundary
+value.  Whether there is one follows from the lines around it alone, wherever they stand, so inserted or deleted
+lines move boundaries only next to them, at any length of text.  A text's start and end are boundaries too.
+
+From each boundary a chunk goes to the nearest one that leaves it MIN_LINES lines with something in them, and to each
+boundary one comes from the nearest such one before.  So chunks overlap, each line of a text of two such lines or
+more is in a chunk, and all chunks have several lines.  Chunks found elsewhere in the corpus are candidates; the first
+occurrence (by doc_id, then place) stays, and the lines of a later one go once its bytes have been compared with
+the first's.  A line that goes stands in an earlier occurrence; of each chain of such occurrences the first stays.
 
 Chunk hashes are aggregated map-side, so a chunk shared by a third of all documents costs one row per task.
 A bitmap of fixed size tells the second pass which chunk texts to send at all; a false positive there only
@@ -21,16 +26,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from halyard.llm.common import _ODD, bit_filter, mix64, row_key, span_hashes, stage, steps, text_bytes
+from halyard.llm.common import _ODD, bit_filter, drop_staged, mix64, own, row_key, span_hashes, split_by_hash, stage, steps, text_bytes
 
-ROLL, DIVISOR, MIN_LINES, MAX_LINES = 2, 2, 2, 64
+ROLL, DIVISOR, MIN_LINES = 2, 2, 2
 _NEWLINE, FILTER_BITS = 10, 25
 
 
+def boundary(rolled: np.ndarray) -> np.ndarray:
+    return mix64(rolled) % np.uint64(DIVISOR) == 0
+
+
 class Chunks:
-    """Line chunks of the texts of one step: spans [start, end) of ``data`` with no newline at their ends."""
+    """Lines and chunks of the texts of one step.
+
+    Line i is ``data[starts[i]:ends[i]]``; lines ``first[d]`` to ``first[d + 1]`` are those of text d.  Chunks are lines [head, tail) of
+    text ``doc``, in order.
+    """
 
-    def __init__(self, col: pa.Array):
+    def __init__(self, col: pa.Array, least: int = MIN_LINES):
         self.data, offsets = text_bytes(col)
         breaks = np.flatnonzero(self.data == _NEWLINE)
         n = len(offsets) - 1
@@ -38,104 +51,122 @@ class Chunks:
         ends = np.sort(np.concatenate([breaks, offsets[1:]]), kind="stable")
         last = np.zeros(len(ends), bool)
         last[np.searchsorted(breaks, offsets[1:]) + np.arange(n)] = True
-        starts = np.concatenate([[0], (ends + ~last)[:-1]]) if n else ends
-        doc = np.cumsum(last) - last
-        lines = span_hashes(self.data, starts, ends)
-        first = np.concatenate([[True], last[:-1]]) if n else last
+        self.starts = np.concatenate([[0], (ends + ~last)[:-1]]) if n else ends
+        self.ends = ends
+        self.first = np.concatenate([[0], np.flatnonzero(last) + 1])
+        lines = span_hashes(self.data, self.starts, ends)
         with np.errstate(over="ignore"):
-            rolled, back = lines.copy(), lines
-            fresh = first.copy()
+            # of the line and the ROLL - 1 before it; where those are another text's, the text's start is a boundary anyway
+            rolled = lines.copy()
             for k in range(1, ROLL):
-                back = np.concatenate([[np.uint64(0)], back[:-1]]) if n else back
-                back = np.where(fresh, np.uint64(0), back)
-                rolled = rolled + back * (_ODD ** np.uint64(k))
-                fresh = fresh | np.concatenate([[True], fresh[:-1]]) if n else fresh
-        # of a run of boundaries every second counts from its first on, and none falls after a text's first or before its last line:
-        # local rules, by which every text of two lines or more has chunks of two lines or more only
-        place = np.arange(len(ends))
-        mark = (mix64(rolled) % np.uint64(DIVISOR) == 0) & ~first
-        cut = mark & ((place - np.maximum.accumulate(np.where(mark, 0, place))) % 2 == 1)
-        cut[:-1] &= ~last[1:]
-        cut |= last
-        # too long a chunk is cut by the count of its own lines, but never so that one line is left
-        own = np.flatnonzero(cut)
-        lengths = np.diff(own, prepend=-1)
-        number, left = place - np.repeat(own - lengths + 1, lengths), np.repeat(own, lengths) - place
-        cut |= (number % MAX_LINES == MAX_LINES - 1) & (left > 1)
-        at = np.flatnonzero(cut)
-        head = np.concatenate([[0], at[:-1] + 1]) if len(at) else at
-        self.doc, self.start, self.end, self.lines = doc[at], starts[head], ends[at], at - head + 1
-        self.first = np.searchsorted(self.doc, np.arange(n + 1))
-        self.n_lines = np.bincount(doc, minlength=n)
+                rolled[k:] += lines[:-k] * (_ODD ** np.uint64(k))
+        cut = boundary(rolled)
+        cut[self.first[:-1]] = True
+        # cuts lie before lines, and after the last
+        at = np.append(np.flatnonzero(cut), len(ends)) if n else np.zeros(0, np.int64)
+        filled = np.concatenate([[0], np.cumsum(ends > self.starts)])
+        have = filled[at]
+        text = np.searchsorted(self.first, at, side="right") - 1
+        begin, stop = self.first[np.minimum(text, n - 1)] if n else at, self.first[np.minimum(text + 1, n)]
+        forth = np.searchsorted(have, have + least)
+        ok = np.flatnonzero((forth < len(at)) & (at < len(ends)))
+        ok = ok[at[forth[ok]] <= stop[ok]]
+        # a boundary between texts is the end of the one before
+        before = np.where((at == begin) | (text == n), self.first[np.maximum(text - 1, 0)], begin) if n else at
+        back = np.searchsorted(have, have - least, side="right") - 1
+        to = np.flatnonzero((back >= 0) & (at > 0))
+        to = to[at[back[to]] >= before[to]]
+        pairs = np.unique(np.concatenate([np.stack([at[ok], at[forth[ok]]], axis=1), np.stack([at[back[to]], at[to]], axis=1)]), axis=0)
+        self.head, self.tail = pairs.T
+        self.doc = np.searchsorted(self.first, self.head, side="right") - 1
+        self.n_lines = np.diff(self.first)
 
     def text(self, i: int) -> bytes:
-        return self.data[self.start[i] : self.end[i]].tobytes()
+        return self.data[self.starts[self.head[i]] : self.ends[self.tail[i] - 1]].tobytes()
+
+    def kept(self, doc: int, gone: list[tuple[int, int]]) -> tuple[bytes, int]:
+        """The text without the lines of the chunks ``gone``, and how many lines those are."""
+        lo, hi = self.first[doc], self.first[doc + 1]
+        left = np.ones(hi - lo, bool)
+        for a, b in gone:
+            left[a:b] = False
+        data = self.data
+        return b"\n".join(data[a:b].tobytes() for a, b in zip(self.starts[lo:hi][left].tolist(), self.ends[lo:hi][left].tolist(), strict=True)), int((~left).sum())
 
 
 def _hash(b: bytes) -> int:
     return xxhash.xxh3_64_intdigest(b) - (1 << 63)
 
 
-def _occurrences(keyed: DataFrame, with_text=None) -> DataFrame:
-    """h, key, doc_id, place (, chunk) of every multi-line chunk, or of those that the filter ``with_text`` lets pass."""
-    schema = T.StructType([T.StructField("h", T.LongType()), keyed.schema["key"], keyed.schema["doc_id"], T.StructField("place", T.IntegerType())])
+def _occurrences(keyed: DataFrame, k: dict[str, str], least: int, with_text=None) -> DataFrame:
+    """h, key, doc_id, head, tail (, chunk) of every chunk, or of those that the filter ``with_text`` lets pass."""
+    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("key", T.StringType()), T.StructField("doc_id", keyed.schema["doc_id"].dataType), T.StructField("head", T.IntegerType()), T.StructField("tail", T.IntegerType())])
     if with_text is not None:
         schema = schema.add("chunk", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch):
-                c = Chunks(part.column("text"))
-                many = np.flatnonzero((c.lines >= MIN_LINES) & (c.end > c.start))
-                h = np.array([_hash(c.text(i)) for i in many.tolist()], np.int64)
+                c = Chunks(part.column("text"), least)
+                every = range(len(c.head))
+                h = np.array([_hash(c.text(i)) for i in every], np.int64)
+                pick = np.arange(len(h))
                 if with_text is not None:
-                    ok = with_text.value.passing(h)
-                    many, h = many[ok], h[ok]
-                rows = pa.array(c.doc[many])
-                cols = [pa.array(h, pa.int64()), part.column("key").take(rows), part.column("doc_id").take(rows), pa.array(many - c.first[c.doc[many]], pa.int32())]
+                    pick = with_text.value.passing(h)
+                rows, base = pa.array(c.doc[pick]), c.first[c.doc[pick]]
+                cols = [pa.array(h[pick], pa.int64()), part.column(k["key"]).take(rows), part.column("doc_id").take(rows), pa.array(c.head[pick] - base, pa.int32()), pa.array(c.tail[pick] - base, pa.int32())]
                 if with_text is not None:
-                    cols.append(pa.array([c.text(i) for i in many.tolist()], pa.binary()))
+                    cols.append(pa.array([c.text(i) for i in pick.tolist()], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return keyed.select("key", "doc_id", "text").mapInArrow(run, schema)
+    return keyed.select(k["key"], "doc_id", "text").mapInArrow(run, schema)
 
 
-def dedup(df: DataFrame) -> DataFrame:
+def dedup(df: DataFrame, least: int = MIN_LINES, most: int = 100) -> DataFrame:
     """``df`` with repeated chunks taken out of ``text``, and n_lines, n_removed_lines (both long).
 
-    Null text stays null and has no lines; the empty text has one, empty, line.  Rows equal in doc_id and text
-    count as one occurrence.  Other columns stay, but for those named like the two made here.  Texts of which
-    nothing is left are empty.
+    Chunks have ``least`` lines or more that hold something.  Null text stays null and has no lines; the empty text
+    has one, empty, line.  A text with fewer such lines has no chunk and stays.  So does a text of whose lines more than
+    ``most`` percent, but not all, would go: it is a near copy rather than a text with repeated passages.  Rows equal in doc_id and text count as one occurrence.  Other columns stay,
+    but for those named like the two made here.  Texts of which nothing is left are empty.
     """
     spark = df.sparkSession
     made = ("n_lines", "n_removed_lines")
     keep = [c for c in df.columns if c not in made]
-    keyed = df.select(*keep, row_key("doc_id", "text").alias("key"))
-    place = F.struct("doc_id", "key", "place")
-    repeated = _occurrences(keyed).groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "first")
+    k = own(df, "key", "gone")
+    keyed = df.select(*keep, row_key("doc_id", "text").alias(k["key"]))
+    place = F.struct("doc_id", "key", "head", "tail")
+    repeated = _occurrences(keyed, k, least).groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "first")
     repeated = stage(repeated, "chunks")
     bits = spark.sparkContext.broadcast(bit_filter(repeated.select("h"), FILTER_BITS))
-    found = stage(_occurrences(keyed, bits).join(repeated, "h").withColumn("is_first", place.eqNullSafe(F.col("first"))).drop("first"), "occurrences")
+    found = stage(_occurrences(keyed, k, least, bits).join(repeated, "h").withColumn("is_first", place.eqNullSafe(F.col("first"))).drop("first"), "occurrences")
     firsts = found.where("is_first").select("h", F.col("chunk").alias("kept")).dropDuplicates(["h"])
     gone = found.where("not is_first").join(firsts, "h").where("chunk = kept")
-    gone = gone.groupBy("key").agg(F.collect_set("place").alias("gone"))
-    joined = keyed.join(gone, "key", "left").drop("key")
+    gone = stage(gone.groupBy(F.col("key").alias(k["key"])).agg(F.collect_set(F.struct("head", "tail")).alias(k["gone"])), "gone")
+    for old in (repeated, found):
+        drop_staged(old)
+    # only texts that may lose something are shuffled
+    cut, rest = split_by_hash(keyed, F.xxhash64(k["key"]), gone.select(F.xxhash64(k["key"]).alias("h")))
+    joined = cut.join(gone, k["key"], "left").drop(k["key"])
+    joined = joined.unionByName(rest.drop(k["key"]).withColumn(k["gone"], F.lit(None).cast(gone.schema[k["gone"]].dataType)))
     schema = T.StructType([*df.select(*keep).schema.fields, *(T.StructField(m, T.LongType()) for m in made)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch):
                 col = part.column("text")
-                c = Chunks(col)
+                c = Chunks(col, least)
                 texts, removed = [], []
-                for i, (text, out) in enumerate(zip(col, part.column("gone").to_pylist(), strict=True)):
+                for i, (text, out) in enumerate(zip(col, part.column(k["gone"]).to_pylist(), strict=True)):
                     if not out:
                         texts.append(text.as_py())
                         removed.append(0)
                         continue
-                    lo, hi, out = c.first[i], c.first[i + 1], set(out)
-                    texts.append(b"\n".join(c.text(j) for j in range(lo, hi) if j - lo not in out).decode())
-                    removed.append(int(sum(c.lines[lo + j] for j in out)))
+                    left, n = c.kept(i, [(g["head"], g["tail"]) for g in out])
+                    if 100 * n > most * c.n_lines[i] and left.strip():
+                        left, n = text.as_buffer().to_pybytes(), 0
+                    texts.append(left.decode())
+                    removed.append(n)
                 lines = np.where(np.asarray(col.is_valid()), c.n_lines, 0)
                 new = {"text": pa.array(texts, pa.string()), "n_lines": pa.array(lines, pa.int64()), "n_removed_lines": pa.array(removed, pa.int64())}
                 yield pa.RecordBatch.from_arrays([new.get(x.name, None) if x.name in new else part.column(x.name) for x in schema.fields], names=schema.names)
@@ -146,3 +177,29 @@ def dedup(df: DataFrame) -> DataFrame:
 def result(docs: DataFrame) -> DataFrame:
     out = dedup(docs.select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed_lines", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def brute_force(docs: list[tuple], least: int = MIN_LINES) -> list[tuple]:
+    """(doc_id, text left) by plain loops over lines and boundaries, for tests; doc_ids are distinct."""
+
+    def is_boundary(one: bytes, two: bytes) -> bool:
+        a, b = (int(span_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0]) for x in (one, two))
+        return bool(boundary(np.array([(b + a * int(_ODD)) % (1 << 64)], np.uint64))[0])
+
+    first: dict[bytes, tuple] = {}
+    found = []
+    for d, text in sorted(docs):
+        lines = (text or "").encode().split(b"\n")
+        cuts = [0, *(i for i in range(1, len(lines)) if is_boundary(lines[i - 1], lines[i])), len(lines)]
+        chunks = set()
+        for c in cuts:
+            after = [e for e in cuts if sum(map(bool, lines[c:e])) >= least]
+            before = [b for b in cuts if sum(map(bool, lines[b:c])) >= least]
+            chunks |= {(c, min(after))} if after else set()
+            chunks |= {(max(before), c)} if before else set()
+        gone: set[int] = set()
+        for a, b in sorted(chunks):
+            if first.setdefault(b"\n".join(lines[a:b]), (d, a, b)) != (d, a, b):
+                gone |= set(range(a, b))
+        found.append((d, None if text is None else b"\n".join(x for i, x in enumerate(lines) if i not in gone).decode()))
+    return found
