@@ -24,7 +24,8 @@ from halyard.functions.rng import DEFAULT_SEED, level
 from halyard.operators import knn
 from halyard.operators.knn import clamp, scores, unit
 
-SHARD_ROWS = 2000
+#: Rows of a shard, and rows up to which a shard is built from one matrix of distances.
+SHARD_ROWS, BULK_ROWS = 2000, 4096
 #: Of stored graphs.
 MAGIC, FORMAT, MOST_LEVELS = b"hlyg", 1, 32
 
@@ -196,6 +197,49 @@ class Hnsw:
         if lvl > self.top:
             self.entry, self.top = node, lvl
 
+    def bulk(self, ids: list, vecs: np.ndarray) -> None:
+        """Insert distinct ids into an empty graph, in order, as ``add`` would with candidates that are exact: all distances come
+        from one matrix product.  For shards of up to BULK_ROWS rows."""
+        x = np.asarray(vecs, np.float32)
+        x = unit(x) if self.metric == "cosine" else x
+        n = len(ids)
+        far = scores(x, x, self.metric)
+        self.x, self.n, self.ids, self.at = x, n, list(ids), {id_: i for i, id_ in enumerate(ids)}
+        self.levels = [level(str(id_), i, self.m, self.seed) for i, id_ in enumerate(ids)]
+        self.links = [[[] for _ in range(lvl + 1)] for lvl in self.levels]
+        levels = np.array(self.levels)
+        reach = [np.flatnonzero(levels >= at) for at in range(int(levels.max()) + 1 if n else 0)]
+
+        def thin(base: int, nodes: np.ndarray, m: int) -> list[int]:
+            """Of nodes in order of distance those closer to the base than to any kept before."""
+            d, kept, at = far[base, nodes], [], 0
+            closest = np.full(len(nodes), np.inf)
+            while at < len(nodes) and len(kept) < m:
+                kept.append(int(nodes[at]))
+                closest = np.minimum(closest, far[nodes[at], nodes])
+                left = np.flatnonzero(closest[at + 1 :] >= d[at + 1 :])
+                at = at + 1 + int(left[0]) if len(left) else len(nodes)
+            return kept
+
+        for i, lvl in enumerate(self.levels):
+            for at in range(min(lvl, self.top), -1, -1):
+                nodes = reach[at][: np.searchsorted(reach[at], i)]
+                d = far[i, nodes]
+                if len(nodes) > self.efc:
+                    pick = np.argpartition(d, self.efc - 1)[: self.efc]
+                    nodes, d = nodes[pick], d[pick]
+                chosen = thin(i, nodes[np.lexsort((nodes, d))], self.m)
+                self.links[i][at] = chosen
+                cap = 2 * self.m if at == 0 else self.m
+                for b in chosen:
+                    mine = self.links[b][at]
+                    mine.append(i)
+                    if len(mine) > cap:
+                        near = np.array(mine)
+                        self.links[b][at] = thin(b, near[np.lexsort((near, far[b, near]))], cap)
+            if lvl > self.top:
+                self.entry, self.top = i, lvl
+
     def remove(self, id_) -> bool:
         node = self.at.pop(id_, None)
         if node is None:
@@ -283,9 +327,12 @@ def build(base: DataFrame, metric: str = "cosine", m: int = 16, ef_construction:
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         g = Hnsw(metric, m, ef_construction, seed)
-        for id_, v in pdf.sort_values("vid")[["vid", "vec"]].itertuples(index=False):
-            g.add(id_, v)
-        g.x = g.x[: g.n]
+        pdf = pdf.sort_values("vid")
+        if len(pdf) <= BULK_ROWS and pdf["vid"].is_unique:
+            g.bulk(pdf["vid"].tolist(), np.stack(pdf["vec"].to_numpy()))
+        else:
+            for id_, v in pdf[["vid", "vec"]].itertuples(index=False):
+                g.add(id_, v)
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "rows": [len(pdf)], "graph": [g.dumps()]})
 
     return rows.groupBy("shard").applyInPandas(one, "shard int, rows long, graph binary")

@@ -309,6 +309,33 @@ def test_stored_graphs_are_checked():
             graph.Hnsw.loads(bad.dumps())
 
 
+@pytest.mark.parametrize("metric", K.METRICS)
+def test_bulk_build_is_a_graph_like_any(metric):
+    g = np.random.default_rng(8)
+    x = g.normal(size=(900, 12)).astype(np.float32)
+    one, two = graph.Hnsw(metric, 8, 60), graph.Hnsw(metric, 8, 60)
+    one.bulk([f"n{i}" for i in range(900)], x)
+    for i, v in enumerate(x):
+        two.add(f"n{i}", v)
+    assert one.levels == two.levels and (one.entry, one.top) == (two.entry, two.top)
+    assert all(len(near) <= (16 if at == 0 else 8) for links in one.links for at, near in enumerate(links))
+    y = knn.unit(x) if metric == "cosine" else x
+    found = []
+    for h in (one, two):
+        hits = 0
+        for q in range(0, 900, 30):
+            truth = {f"n{i}" for i in np.argsort(knn.scores(y, y[q][None], metric)[0], kind="stable")[:10]}
+            hits += len(truth & {id_ for id_, _ in h.search(x[q], 10, 80)})
+        found.append(hits / 300)
+    assert found[0] >= 0.9 and found[0] >= found[1] - 0.05
+    back = graph.Hnsw.loads(one.dumps())
+    back.add("n5", x[6])
+    assert back.search(x[6], 2, 60)[0][1] <= back.search(x[6], 2, 60)[1][1] and 5 in back.dead
+    empty = graph.Hnsw(metric)
+    empty.bulk([], np.zeros((0, 3)))
+    assert empty.search(np.zeros(3), 2) == []
+
+
 def test_large_query_sets_go_as_blocks(spark, monkeypatch):
     g = np.random.default_rng(7)
     base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(g.normal(size=(200, 8)))], "vid long, vec array<float>")
