@@ -113,28 +113,37 @@ def adjacent_prefixes(sa: np.ndarray, symbols: np.ndarray, ranks: Ranks, depth:
     return np.minimum(out, depth)
 
 
-def repeated(symbols: np.ndarray, depth: int, owner: np.ndarray | None = None, owners: int = 2) -> np.ndarray:
-    """True where the next ``depth`` symbols also start at another place (at places of ``owners`` different owners, if given).
-
-    Symbol 0 separates texts: what would run over one is never repeated.
-    """
+def _runs(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix array, for each of its entries the run of suffixes that share their first ``depth`` symbols, and which places
+    have that many symbols before the next 0."""
     n = len(symbols)
-    out = np.zeros(n, bool)
-    if n < depth:
-        return out
     ranks = Ranks(symbols, depth)
     sa = suffix_array(symbols, depth, ranks)
     stops = np.append(np.flatnonzero(symbols == 0), n)
     whole = stops[np.searchsorted(stops, np.arange(n))] - np.arange(n) >= depth
-    lcp = adjacent_prefixes(sa, symbols, ranks, depth, depth)
-    # runs of suffixes that share their first depth symbols
-    joined = np.concatenate([lcp[1:] >= depth, [False]])
-    run = np.concatenate([[0], np.cumsum(~joined[:-1])])
-    if owner is None:
-        many = np.bincount(run)[run] > 1
-    else:
-        # distinct owners of each run
+    joined = np.concatenate([adjacent_prefixes(sa, symbols, ranks, depth, depth)[1:] >= depth, [False]])
+    return sa, np.concatenate([[0], np.cumsum(~joined[:-1])]), whole
+
+
+def repeated(symbols: np.ndarray, depth: int) -> np.ndarray:
+    """True where the next ``depth`` symbols also start at another place.
+
+    Symbol 0 separates texts: what would run over one is never repeated.
+    """
+    out = np.zeros(len(symbols), bool)
+    if len(symbols) >= depth:
+        sa, run, whole = _runs(symbols, depth)
+        out[sa] = np.bincount(run)[run] > 1
+        out &= whole
+    return out
+
+
+def owners(symbols: np.ndarray, depth: int, owner: np.ndarray) -> np.ndarray:
+    """For each place the number of different owners of places where its next ``depth`` symbols start; 0 where a 0 is among them."""
+    out = np.zeros(len(symbols), np.int64)
+    if len(symbols) >= depth:
+        sa, run, whole = _runs(symbols, depth)
         each = np.unique(run * (int(owner.max()) + 1) + owner[sa])
-        many = (np.bincount(each // (int(owner.max()) + 1)) >= owners)[run]
-    out[sa] = many
-    return out & whole
+        out[sa] = np.bincount(each // (int(owner.max()) + 1))[run]
+        out[~whole] = 0
+    return out
