@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from halyard.llm.common import own
+
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
     "the of and to in a is that it for was with on as be by this are from or an at which not have "
@@ -117,8 +119,9 @@ def apply(df: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE_RULES
     rules; every row, repeated or not, is judged alone; an empty table gives an empty result.
     """
     kinds = ("n_words", "n_repeat_words", "n_stop_words", "n_lines", "n_dup_lines")
-    made = df.withColumns(measures(text))
-    made = made.withColumns({k: F.col("_w" if "line" not in k else "_l")[k] for k in kinds}).drop("_w", "_l")
+    names = own(df, "w", "l")
+    made = df.withColumns({names[k.lstrip("_")] if k in ("_w", "_l") else k: c for k, c in measures(text).items()})
+    made = made.withColumns({k: F.col(names["l" if "line" in k else "w"])[k] for k in kinds}).drop(*names.values())
     passed = ~F.col("base_failed") & _passes(method)
     return made.withColumn("base_failed", ~_passes(base)).withColumn("kept", passed)
 
