@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import _ODD, _TABLE, _powers, bit_filter, drop_staged, mix64, stage, steps, text_bytes
+from halyard.llm.common import _ODD, _TABLE, _powers, bit_filter, mix64, own, stage, steps, text_bytes
 from halyard.llm.suffix import repeated
 
 SPAN, GRAM, FILTER_BITS = 400, 32, 26
@@ -171,7 +171,7 @@ def _sort_group(rows: list[tuple], span: int) -> np.ndarray:
 
 
 def intervals(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """k1, k2, lo, hi: byte intervals to remove from the text of the rows (k1, k2, text)."""
+    """k1, k2, gone: the byte intervals (lo, hi) to remove from the text of the rows (k1, k2, text)."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -181,7 +181,7 @@ def intervals(docs: DataFrame, span: int = SPAN) -> DataFrame:
         by = np.argsort(b, kind="stable")
         h, b = h[by], b[by]
         cut = np.flatnonzero(np.diff(b, prepend=-1))
-        ends = np.append(cut[1:], len(b))
+        ends = np.append(cut[1:], len(b))[: len(cut)]
         return pa.RecordBatch.from_arrays([pa.array(b[cut], pa.int32()), pa.array([h[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary())], names=["b", "packed"])
 
     def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +296,7 @@ def intervals(docs: DataFrame, span: int = SPAN) -> DataFrame:
             yield close(groups)
 
     parts = sent.select("h", "k1", "k2", "a", "text", "off", "n").repartition("h").sortWithinPartitions("h").mapInArrow(sort, "k1 long, k2 long, lo long, hi long")
-    return whole.unionByName(parts)
+    return whole.unionByName(parts).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("gone"))
 
 
 def remove(df: DataFrame, text: str = "text", span: int = SPAN) -> DataFrame:
@@ -308,11 +308,14 @@ def remove(df: DataFrame, text: str = "text", span: int = SPAN) -> DataFrame:
     """
     made = {"kept": "binary", "n_bytes": "long", "n_removed": "long", "n_spans": "long"}
     keep = [c for c in df.columns if c not in made and c != text]
+    k = own(df, "text", "k1", "k2", "lo", "hi")
     value = F.coalesce(F.col(text), F.lit(""))
-    keyed = df.select(*keep, value.alias("_text"), F.xxhash64(*[F.hash(F.col(c).cast("string")) for c in keep if c == "doc_id"], value).alias("k1"), F.xxhash64(F.lit(11), value).alias("k2"))
-    gone = intervals(keyed.select("k1", "k2", F.col("_text").alias("text")), span)
-    gone = gone.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("gone"))
-    joined = keyed.join(gone, ["k1", "k2"], "left").select(*keep, "_text", F.transform("gone", lambda x: x["lo"]).alias("_lo"), F.transform("gone", lambda x: x["hi"]).alias("_hi"))
+    ids = [F.hash(F.col(c).cast("string")) for c in keep if c == "doc_id"]
+    keyed = df.select(*keep, value.alias(k["text"]), F.xxhash64(*ids, value).alias(k["k1"]), F.xxhash64(F.lit(11), value).alias(k["k2"]))
+    gone = intervals(keyed.select(F.col(k["k1"]).alias("k1"), F.col(k["k2"]).alias("k2"), F.col(k["text"]).alias("text")), span)
+    gone = gone.select(F.col("k1").alias(k["k1"]), F.col("k2").alias(k["k2"]), F.col("gone").alias(k["lo"]))
+    places = lambda c: F.transform(k["lo"], lambda x: x[c])
+    joined = keyed.join(gone, [k["k1"], k["k2"]], "left").select(*keep, k["text"], places("lo").alias(k["lo"]), places("hi").alias(k["hi"]))
     from pyspark.sql import types as T
 
     names = {"binary": T.BinaryType(), "long": T.LongType()}
@@ -320,9 +323,9 @@ def remove(df: DataFrame, text: str = "text", span: int = SPAN) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, "_text"):
+            for part in steps(batch, k["text"]):
                 out = []
-                for t, lo, hi in zip(part.column("_text"), part.column("_lo").to_pylist(), part.column("_hi").to_pylist(), strict=True):
+                for t, lo, hi in zip(part.column(k["text"]), part.column(k["lo"]).to_pylist(), part.column(k["hi"]).to_pylist(), strict=True):
                     data = t.as_buffer().to_pybytes()
                     if not lo:
                         out.append((data, len(data), 0, 0))
