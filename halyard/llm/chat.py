@@ -6,10 +6,9 @@ span.  Where a text lies inside its span is found by rendering the same prefix w
 A template that changes earlier output when a turn is added rewrites history; that is detected and
 reported, never passed over.
 
-Conversations are streamed: rows arrive sorted by conversation and turn, and memory holds at most a window
-of turns plus ``whole_chars`` characters of the running conversation.  Within ``window`` turns every prefix
-is rendered from the start.  Beyond that the prefix slides, and each turn is rendered from two window starts
-that must agree; up to ``whole_chars`` characters the final whole rendering must equal the joined spans too.
+Every prefix is rendered from the start, whatever the number of turns, so a span is what the template makes of the whole
+prefix and a rewrite anywhere is seen.  The price is the method's: the characters rendered grow with the square of a
+conversation's length, and one conversation is held in memory at a time.
 """
 
 from __future__ import annotations
@@ -18,14 +17,14 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Turn = tuple[str, str]
-WINDOW, WHOLE_CHARS = 16, 1 << 24
-#: Rows that Python holds at once; texts of any length pass whole.
+#: Stands for a turn's text when the place of the text in its span is looked for.
 PROBE = "\x02probe\x03"
 
 
@@ -44,8 +43,13 @@ class MarkedTemplate:
     def unescape(self, text: str) -> str:
         return re.sub(r"\\[\\htc]", lambda m: self._back[m[0]], text)
 
+    @lru_cache(maxsize=8192)  # noqa: B019  prefixes repeat turns; the cache ends with the template
+    def turn(self, turn: Turn) -> str:
+        role, text = turn
+        return f"### {self.escape(role).replace(':', chr(92) + 'c')}: {self.escape(text)}</turn>\n"
+
     def __call__(self, turns: list[Turn]) -> str:
-        return "".join(f"### {self.escape(r).replace(':', chr(92) + 'c')}: {self.escape(t)}</turn>\n" for r, t in turns)
+        return "".join(map(self.turn, turns))
 
     def role_of(self, span: str) -> str:
         return self.unescape(span[4 : span.index(": ")])
@@ -64,52 +68,31 @@ class Span:
 class Renderer:
     """Finds the spans of one conversation's turns, fed one by one."""
 
-    def __init__(self, template: Callable[[list[Turn]], str], window: int = WINDOW, whole_chars: int = WHOLE_CHARS):
-        self.template, self.window, self.whole_chars = template, window, whole_chars
-        self.recent: list[Turn] = []
+    def __init__(self, template: Callable[[list[Turn]], str]):
+        self.template = template
+        self.turns: list[Turn] = []
         self.before = ""
-        self.turns: list[Turn] | None = []
         self.chars = 0
-        self.spans: list[str] | None = []
         self.rewrites = False
 
-    def _added(self, before: str, after: str) -> tuple[str, bool]:
-        if after.startswith(before):
-            return after[len(before) :], False
+    def _added(self, after: str) -> tuple[str, bool]:
+        """What a rendering has after that of the turns so far, and whether it changes that."""
+        if after.startswith(self.before):
+            return after[len(self.before) :], False
         return after, True
 
     def add(self, turn: Turn) -> Span:
-        if len(self.recent) == self.window:
-            # slide to the younger half; the older start must give the same span
-            older = self.recent
-            self.recent = older[self.window // 2 :]
-            self.before = self.template(self.recent)
-            check = self._added(self.template(older), self.template([*older, turn]))
-        else:
-            check = None
-        after = self.template([*self.recent, turn])
-        span, bad = self._added(self.before, after)
-        bad |= check is not None and check != (span, False)
-        probed, odd = self._added(self.before, self.template([*self.recent, (turn[0], PROBE)]))
+        probed, odd = self._added(self.template([*self.turns, (turn[0], PROBE)]))
+        self.turns.append(turn)
+        after = self.template(self.turns)
+        span, bad = self._added(after)
         at = probed.find(PROBE)
         lo, hi = (0, 0) if at < 0 or odd or bad else (at, len(span) - (len(probed) - at - len(PROBE)))
         self.rewrites |= bad
-        self.recent.append(turn)
         self.before = after
         self.chars += len(span)
-        if self.turns is not None:
-            self.turns.append(turn)
-            self.spans.append(span)
-            if self.chars > self.whole_chars:
-                self.turns = self.spans = None
         return Span(span, lo, hi, bad)
 
-    def end(self) -> bool:
-        """Whether the template rewrote history anywhere in this conversation."""
-        if self.turns and len(self.turns) > self.window and not self.rewrites:
-            self.rewrites = self.template(self.turns) != "".join(self.spans)
-        return self.rewrites
-
 
 def _sorted_turns(df: DataFrame) -> DataFrame:
     """conv_id, turn, role, text with rows of a conversation together and in order.
@@ -121,7 +104,7 @@ def _sorted_turns(df: DataFrame) -> DataFrame:
     return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def spans(df: DataFrame, template=None, window: int = WINDOW, whole_chars: int = WHOLE_CHARS) -> DataFrame:
+def spans(df: DataFrame, template=None) -> DataFrame:
     """One row per turn: conv_id, turn, role, the rendered span, [text_lo, text_hi) of the text in it, whether
     this turn is under the loss mask (role assistant), and whether it rewrote earlier output."""
     template = template or MarkedTemplate()
@@ -132,7 +115,7 @@ def spans(df: DataFrame, template=None, window: int = WINDOW, whole_chars: int =
             rows = []
             for conv, turn, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text")), strict=True):
                 if conv != last:
-                    last, renderer = conv, Renderer(template, window, whole_chars)
+                    last, renderer = conv, Renderer(template)
                 s = renderer.add((role, text))
                 rows.append({"conv_id": conv, "turn": turn, "role": role, "span": s.text, "text_lo": s.lo, "text_hi": s.hi, "loss": role == "assistant", "rewrites": s.rewrites})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
@@ -146,12 +129,12 @@ def spans(df: DataFrame, template=None, window: int = WINDOW, whole_chars: int =
     return _sorted_turns(df).mapInArrow(run, schema)
 
 
-def conversations(df: DataFrame, template=None, window: int = WINDOW, whole_chars: int = WHOLE_CHARS) -> DataFrame:
+def conversations(df: DataFrame, template=None) -> DataFrame:
     """One row per conversation, read back from the rendered output.
 
     n_turns; turns_sha256 (hex digest of role, newline, text, newline of each turn, as parsed from the spans);
     loss_chars and loss_sha256 (unescaped text under the loss mask); formatted_chars; rewrites_history.  With no
-    rows there are no conversations.  Digests are streamed, so a conversation may be longer than memory.
+    rows there are no conversations.
     """
     template = template or MarkedTemplate()
 
@@ -161,14 +144,13 @@ def conversations(df: DataFrame, template=None, window: int = WINDOW, whole_char
         def close() -> None:
             if state is not None:
                 renderer, n, turns, loss, chars = state
-                bad = renderer.end()
-                out.append({"conv_id": last, "n_turns": n, "turns_sha256": turns.hexdigest(), "loss_chars": chars, "loss_sha256": loss.hexdigest(), "formatted_chars": renderer.chars, "rewrites_history": bad})
+                out.append({"conv_id": last, "n_turns": n, "turns_sha256": turns.hexdigest(), "loss_chars": chars, "loss_sha256": loss.hexdigest(), "formatted_chars": renderer.chars, "rewrites_history": renderer.rewrites})
 
         for batch in batches:
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if conv != last or state is None:
                     close()
-                    last, state = conv, [Renderer(template, window, whole_chars), 0, hashlib.sha256(), hashlib.sha256(), 0]
+                    last, state = conv, [Renderer(template), 0, hashlib.sha256(), hashlib.sha256(), 0]
                 renderer = state[0]
                 s = renderer.add((role, text))
                 back = template.unescape(s.text[s.lo : s.hi])
