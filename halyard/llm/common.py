@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -216,20 +215,22 @@ def bit_filter(hashes: DataFrame, bits: int) -> BitFilter:
     return out
 
 
-def split_by_hash(df: DataFrame, h: Column, keys: DataFrame, bits: int = 25) -> tuple[DataFrame, DataFrame]:
-    """(rows whose hash ``h`` may be among the column ``h`` of ``keys``, the other rows).
+def may_pass(batch: pa.RecordBatch, h: str, shared) -> np.ndarray:
+    """Which rows' hashes (column ``h``) may be in the broadcast filter."""
+    out = np.zeros(batch.num_rows, bool)
+    out[shared.value.passing(batch.column(h).to_numpy())] = True
+    return out
 
-    A bitmap of fixed size decides, so of a large table only rows that may have a partner are shuffled to a join.
-    """
-    shared = df.sparkSession.sparkContext.broadcast(bit_filter(keys, bits))
 
-    @F.pandas_udf("boolean")
-    def may(x: pd.Series) -> pd.Series:
-        out = np.zeros(len(x), bool)
-        out[shared.value.passing(x.to_numpy(np.int64))] = True
-        return pd.Series(out)
+def only(df: DataFrame, h: str, shared, inside: bool = True) -> DataFrame:
+    """The rows whose hash ``h`` may be in the broadcast filter, or those for which it can't: of a large table only rows that may
+    have a partner need to be shuffled to a join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_pass(batch, h, shared) == inside))
 
-    return df.where(may(h)), df.where(~may(h))
+    return df.mapInArrow(run, df.schema)
 
 
 def sql_words(expr: str, pattern: str) -> str:

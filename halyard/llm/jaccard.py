@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import NONSPACE, _ODD, Words, bit_filter, drop_staged, mix64, own, row_key, shingle_hashes, stage, steps
+from halyard.llm.common import NONSPACE, _ODD, Words, bit_filter, drop_staged, mix64, only, own, row_key, shingle_hashes, stage, steps
 from halyard.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
@@ -583,10 +583,13 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, ki
     each = rows.groupBy("comp", "key").agg(F.count(F.lit(1)).alias("rows"))
     # rows equal in both stand or fall together, but of several only one stays
     fate = each.join(best, "comp").select(F.col("key").alias(key), F.when(F.col("key") != F.col("best.key"), "none").when(F.col("rows") > 1, "one").alias("fate")).where("fate is not null")
-    fate = fate.withColumnRenamed("fate", fate_name := own(docs, "fate")["fate"])
-    judged = docs.withColumn(key, row_key("doc_id", "text")).join(fate, key, "left")
+    fate = stage(fate.withColumnRenamed("fate", fate_name := own(docs, "fate")["fate"]), "fate")
+    # only rows that may go are shuffled, to a join of one form at any size
+    keyed = docs.withColumn(key, row_key("doc_id", "text")).withColumn(h := own(docs, "h")["h"], F.xxhash64(key))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(fate.select(F.xxhash64(key).alias("h")), FILTER_BITS))
+    judged = only(keyed, h, shared).join(fate.hint("merge"), key, "left")
     several = judged.where(F.col(fate_name) == "one").dropDuplicates([key])
-    return judged.where(F.col(fate_name).isNull()).unionByName(several).select(*docs.columns)
+    return judged.where(F.col(fate_name).isNull()).unionByName(several).select(*docs.columns).unionByName(only(keyed, h, shared, False).select(*docs.columns))
 
 
 def brute_force(docs: list[tuple], size: int = SHINGLE, percent: int = PERCENT) -> list[tuple]:

@@ -1,11 +1,11 @@
 """Line dedup by content-defined line chunks.
 
-A rolling hash over the hashes of ``ROLL`` lines lays a boundary between two lines where it falls on a boundary
-value.  Whether there is one follows from the lines around it alone, wherever they stand, so inserted or deleted
-lines move boundaries only next to them, at any length of text.  A text's start and end are boundaries too.
+A rolling hash over the hashes of ROLL lines marks the places where it falls on a boundary value.  Chunks start with the
+lines of a mark and end with those of a mark, so both boundaries follow from lines of the chunk itself, wherever it stands:
+inserted or deleted lines, and the text around a passage, change nothing inside.  A text's start and end are boundaries too.
 
-From each boundary a chunk goes to the nearest one that leaves it MIN_LINES lines with something in them, and to each
-boundary one comes from the nearest such one before.  So chunks overlap, each line of a text of two such lines or
+From each start a chunk goes to the nearest end that leaves it MIN_LINES lines with something in them, and another to the end after
+that; to a text's end one comes from the nearest such start.  So chunks overlap, each line of a text of two such lines or
 more is in a chunk, and all chunks have several lines.  Chunks found elsewhere in the corpus are candidates; the first
 occurrence (by doc_id, then place) stays, and the lines of a later one go once its bytes have been compared with
 the first's.  A line that goes stands in an earlier occurrence; of each chain of such occurrences the first stays.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from halyard.llm.common import _ODD, bit_filter, drop_staged, mix64, own, row_key, span_hashes, split_by_hash, stage, steps, text_bytes
+from halyard.llm.common import _ODD, bit_filter, drop_staged, may_pass, mix64, only, own, row_key, span_hashes, stage, steps, text_bytes
 
 ROLL, DIVISOR, MIN_LINES = 2, 2, 2
 _NEWLINE, FILTER_BITS = 10, 25
@@ -56,27 +56,25 @@ class Chunks:
         self.first = np.concatenate([[0], np.flatnonzero(last) + 1])
         lines = span_hashes(self.data, self.starts, ends)
         with np.errstate(over="ignore"):
-            # of the line and the ROLL - 1 before it; where those are another text's, the text's start is a boundary anyway
+            # of each line and the ROLL - 1 before it
             rolled = lines.copy()
             for k in range(1, ROLL):
                 rolled[k:] += lines[:-k] * (_ODD ** np.uint64(k))
-        cut = boundary(rolled)
-        cut[self.first[:-1]] = True
-        # cuts lie before lines, and after the last
-        at = np.append(np.flatnonzero(cut), len(ends)) if n else np.zeros(0, np.int64)
+        inside = np.arange(len(ends)) - self.first[np.searchsorted(self.first, np.arange(len(ends)), side="right") - 1] >= ROLL - 1
+        mark = np.flatnonzero(boundary(rolled) & inside)
+        head, tail = np.union1d(self.first[:-1], mark - (ROLL - 1)), np.union1d(self.first[1:], mark + 1)
         filled = np.concatenate([[0], np.cumsum(ends > self.starts)])
-        have = filled[at]
-        text = np.searchsorted(self.first, at, side="right") - 1
-        begin, stop = self.first[np.minimum(text, n - 1)] if n else at, self.first[np.minimum(text + 1, n)]
-        forth = np.searchsorted(have, have + least)
-        ok = np.flatnonzero((forth < len(at)) & (at < len(ends)))
-        ok = ok[at[forth[ok]] <= stop[ok]]
-        # a boundary between texts is the end of the one before
-        before = np.where((at == begin) | (text == n), self.first[np.maximum(text - 1, 0)], begin) if n else at
-        back = np.searchsorted(have, have - least, side="right") - 1
-        to = np.flatnonzero((back >= 0) & (at > 0))
-        to = to[at[back[to]] >= before[to]]
-        pairs = np.unique(np.concatenate([np.stack([at[ok], at[forth[ok]]], axis=1), np.stack([at[back[to]], at[to]], axis=1)]), axis=0)
+        stop = self.first[np.searchsorted(self.first, head, side="right")]
+        near = np.searchsorted(filled[tail], filled[head] + least)
+        pairs = []
+        for to in (near, near + 1):
+            ok = np.flatnonzero(to < len(tail))
+            ok = ok[tail[to[ok]] <= stop[ok]]
+            pairs.append(np.stack([head[ok], tail[to[ok]]], axis=1))
+        back = np.searchsorted(filled[head], filled[self.first[1:]] - least, side="right") - 1
+        ok = np.flatnonzero(back >= 0)
+        ok = ok[head[back[ok]] >= self.first[ok]]
+        pairs = np.unique(np.concatenate([*pairs, np.stack([head[back[ok]], self.first[ok + 1]], axis=1)]), axis=0)
         self.head, self.tail = pairs.T
         self.doc = np.searchsorted(self.first, self.head, side="right") - 1
         self.n_lines = np.diff(self.first)
@@ -133,7 +131,7 @@ def dedup(df: DataFrame, least: int = MIN_LINES, most: int = 100) -> DataFrame:
     spark = df.sparkSession
     made = ("n_lines", "n_removed_lines")
     keep = [c for c in df.columns if c not in made]
-    k = own(df, "key", "gone")
+    k = own(df, "key", "gone", "h")
     keyed = df.select(*keep, row_key("doc_id", "text").alias(k["key"]))
     place = F.struct("doc_id", "key", "head", "tail")
     repeated = _occurrences(keyed, k, least).groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "first")
@@ -145,19 +143,22 @@ def dedup(df: DataFrame, least: int = MIN_LINES, most: int = 100) -> DataFrame:
     gone = stage(gone.groupBy(F.col("key").alias(k["key"])).agg(F.collect_set(F.struct("head", "tail")).alias(k["gone"])), "gone")
     for old in (repeated, found):
         drop_staged(old)
-    # only texts that may lose something are shuffled
-    cut, rest = split_by_hash(keyed, F.xxhash64(k["key"]), gone.select(F.xxhash64(k["key"]).alias("h")))
-    joined = cut.join(gone, k["key"], "left").drop(k["key"])
-    joined = joined.unionByName(rest.drop(k["key"]).withColumn(k["gone"], F.lit(None).cast(gone.schema[k["gone"]].dataType)))
+    # only texts that may lose something are shuffled, to a join of one form at any size
+    keyed = keyed.withColumn(k["h"], F.xxhash64(k["key"]))
+    changed = spark.sparkContext.broadcast(bit_filter(gone.select(F.xxhash64(k["key"]).alias("h")), FILTER_BITS))
+    joined = only(keyed, k["h"], changed).join(gone.hint("merge"), k["key"], "left")
     schema = T.StructType([*df.select(*keep).schema.fields, *(T.StructField(m, T.LongType()) for m in made)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if k["gone"] not in batch.schema.names:
+                batch = batch.filter(pa.array(~may_pass(batch, k["h"], changed)))
             for part in steps(batch):
                 col = part.column("text")
                 c = Chunks(col, least)
                 texts, removed = [], []
-                for i, (text, out) in enumerate(zip(col, part.column(k["gone"]).to_pylist(), strict=True)):
+                gone = part.column(k["gone"]).to_pylist() if k["gone"] in part.schema.names else [None] * part.num_rows
+                for i, (text, out) in enumerate(zip(col, gone, strict=True)):
                     if not out:
                         texts.append(text.as_py())
                         removed.append(0)
@@ -171,7 +172,7 @@ def dedup(df: DataFrame, least: int = MIN_LINES, most: int = 100) -> DataFrame:
                 new = {"text": pa.array(texts, pa.string()), "n_lines": pa.array(lines, pa.int64()), "n_removed_lines": pa.array(removed, pa.int64())}
                 yield pa.RecordBatch.from_arrays([new.get(x.name, None) if x.name in new else part.column(x.name) for x in schema.fields], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).unionByName(keyed.mapInArrow(run, schema))
 
 
 def result(docs: DataFrame) -> DataFrame:
@@ -190,13 +191,12 @@ def brute_force(docs: list[tuple], least: int = MIN_LINES) -> list[tuple]:
     found = []
     for d, text in sorted(docs):
         lines = (text or "").encode().split(b"\n")
-        cuts = [0, *(i for i in range(1, len(lines)) if is_boundary(lines[i - 1], lines[i])), len(lines)]
+        marks = [i for i in range(len(lines) - 1) if is_boundary(lines[i], lines[i + 1])]
+        starts, ends = sorted({0, *marks}), sorted({len(lines), *(i + 2 for i in marks)})
         chunks = set()
-        for c in cuts:
-            after = [e for e in cuts if sum(map(bool, lines[c:e])) >= least]
-            before = [b for b in cuts if sum(map(bool, lines[b:c])) >= least]
-            chunks |= {(c, min(after))} if after else set()
-            chunks |= {(max(before), c)} if before else set()
+        for a in starts:
+            chunks |= {(a, b) for b in [e for e in ends if sum(map(bool, lines[a:e])) >= least][:2]}
+        chunks |= {(a, len(lines)) for a in [x for x in starts if sum(map(bool, lines[x:])) >= least][-1:]}
         gone: set[int] = set()
         for a, b in sorted(chunks):
             if first.setdefault(b"\n".join(lines[a:b]), (d, a, b)) != (d, a, b):
