@@ -53,6 +53,11 @@ def test_bpe_equals_the_library_and_round_trips(spark, docs):
     assert rows(bpe.digest(docs[1], PATH, P.PATTERN)) == want
     odd = ["a" * 5000, "\x1c \x85 　x", "½²٣ 日本語🙂🙂", "'s 'll don't"]
     assert [codec.encode(t) for t in odd] == [enc.encode_ordinary(t) for t in odd]
+    # pieces too long for packed heap entries merge alike
+    r = random.Random(8)
+    for n in (1, 2, 3, 50, 400, 3000):
+        piece = "".join(r.choices("etaoin shrd", k=n)).encode()
+        assert codec._merge_long(piece) == codec.merge(piece)
     clash = spark.createDataFrame([(1, "ab", [9], b"z")], "id int, text string, ids array<int>, decoded binary")
     got = bpe.decode(bpe.encode(clash, PATH, P.PATTERN), PATH, P.PATTERN).first()
     assert bytes(got.decoded) == b"ab" and bpe.encode(docs[1].limit(0), PATH, P.PATTERN).collect() == []
@@ -62,7 +67,7 @@ def test_chat_spans_and_rewrites(spark):
     talk = [(1, 0, "user", "hi ### x </turn> \\h"), (1, 1, "assistant", "ok"), (1, 1, "assistant", "ok"), (2, None, None, None), (None, 0, "assistant", "")]
     talk += [(3, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(50)]
     df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: r for r in chat.conversations(df, window=8).collect()}
+    got = {r.conv_id: r for r in chat.conversations(df).collect()}
     turns = "".join(f"{r}\n{t}\n" for _, _, r, t in talk[:3])
     assert got[1].turns_sha256 == hashlib.sha256(turns.encode()).hexdigest() and got[1].loss_chars == 4
     assert got[3].n_turns == 50 and got[3].loss_sha256 == hashlib.sha256("".join(f"t{i}" for i in range(1, 50, 2)).encode()).hexdigest()
@@ -73,8 +78,12 @@ def test_chat_spans_and_rewrites(spark):
             return super().__call__([(r, "(gone)" if i < len(turns) - 2 else t) for i, (r, t) in enumerate(turns)])
 
     assert chat.spans(df.where("conv_id = 3"), Forgetful()).where("rewrites").count() > 0
-    last = chat.Renderer(lambda turns: ("!" if len(turns) > 20 else "") + "".join(t for _, t in turns), window=4)
-    assert any([last.add(("user", "x")).rewrites for _ in range(30)]) or last.end()
+    last = chat.Renderer(lambda turns: ("!" if len(turns) > 20 else "") + "".join(t for _, t in turns))
+    assert [i for i in range(30) if last.add(("user", "x")).rewrites] == [20]
+    # a template that numbers its turns rewrites nothing, at any length
+    numbered = chat.Renderer(lambda turns: "".join(f"{i}: {t}\n" for i, (_, t) in enumerate(turns)))
+    spans = [numbered.add(("user", f"x{i}")) for i in range(200)]
+    assert [x.text for x in spans] == [f"{i}: x{i}\n" for i in range(200)] and [x.text[x.lo : x.hi] for x in spans] == [f"x{i}" for i in range(200)] and not numbered.rewrites
     assert chat.conversations(df.limit(0)).collect() == []
 
 
@@ -167,6 +176,36 @@ def test_jaccard_equals_brute_force(docs):
     assert jaccard.join(docs[1].limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("seed, part", [(1, 2048), (2, 64)])
+def test_jaccard_of_large_families_equals_brute_force(spark, monkeypatch, seed, part):
+    """Families whose members are near the threshold to each other, larger than a small tile and than a banded one."""
+    r = random.Random(seed)
+    monkeypatch.setattr(jaccard, "PART", part)
+    monkeypatch.setattr(jaccard, "FAMILY", 4 * part)
+    texts = []
+    for n, size in ((330, 90), (90, 60), (20, 200)):
+        base = words(r, size, "abcdefghijkl").split(" ")
+        for _ in range(n):
+            own = list(base)
+            for _ in range(r.randint(0, max(2, size // 25))):
+                own[r.randrange(size)] = words(r, 1, "mnopqrst")
+            texts.append(" ".join(own[: r.randint(size - 6, size)]))
+    data = list(enumerate(texts))
+    r.shuffle(data)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    assert rows(jaccard.join(df)) == sorted(jaccard.brute_force(data))
+
+
+def test_one_of_each_component_stays(spark):
+    r = random.Random(6)
+    a, b, c = (words(r, 60) for _ in range(3))
+    data = [(1, a, "x"), (2, a + " z", "x"), (2, b, "x"), (None, c, "x"), (None, c, "y"), (5, c, "x"), (7, None, "x"), (7, "", "x"), (7, "", "y"), (8, a, "x"), (1, a, "y")]
+    df = spark.createDataFrame(data, "doc_id long, text string, key string")
+    left = sorted(((x.doc_id, x.text) for x in jaccard.one_of_each(df, 5, 80).collect()), key=str)
+    assert left == sorted([(1, a), (2, b), (5, c), (7, None), (7, ""), (7, "")], key=str)
+    assert jaccard.one_of_each(df.limit(0)).collect() == []
+
+
 def test_line_dedup_keeps_first_occurrences(spark, docs):
     r = random.Random(9)
     block = "\n".join(words(r, 6) for _ in range(40))
@@ -178,39 +217,38 @@ def test_line_dedup_keeps_first_occurrences(spark, docs):
         left = got[i].text.split("\n")
         assert len(left) == got[i].n_lines - got[i].n_removed_lines and got[i].n_removed_lines >= 20
         assert left[0] == texts[i].split("\n")[0] and left[-1] == texts[i].split("\n")[-1]
-    # by plain loops over the same chunks
-    import pyarrow as pa
-
-    data, first, want = docs[0], {}, {}
-    cut = lines.Chunks(pa.array([t for _, t in data], pa.string()))
-    for i, (d, t) in enumerate(data):
-        keep = []
-        for j in range(cut.first[i], cut.first[i + 1]):
-            c = cut.text(j)
-            if cut.lines[j] < lines.MIN_LINES or not c or c not in first:
-                keep.append(c)
-                if cut.lines[j] >= lines.MIN_LINES and c:
-                    first[c] = d
-        want[d] = None if t is None else b"\n".join(keep).decode()
-    assert {x.doc_id: x.text for x in lines.dedup(docs[1]).collect()} == want
+    assert {x.doc_id: x.text for x in lines.dedup(docs[1]).collect()} == dict(lines.brute_force(docs[0]))
     assert lines.result(docs[1].limit(0)).collect() == []
 
 
-def test_line_dedup_of_long_copies(spark):
-    import pyarrow as pa
-
+def test_line_dedup_of_long_texts_equals_brute_force(spark):
     r = random.Random(13)
-    for n in (65, 66, 129, 500):
-        # the first without a boundary of its own, so that only the forced ones cut it
-        for text in ("\n".join(["same"] * n), "\n".join(words(r, 8) for _ in range(n))):
-            cut = lines.Chunks(pa.array([text], pa.string()))
-            assert cut.lines.min() >= 2 and cut.lines.max() <= lines.MAX_LINES + 1
-    long = "\n".join(words(r, 8) for _ in range(500))
-    df = spark.createDataFrame([(0, long), (1, long), (2, f"{words(r, 8)}\n{long}")], "doc_id long, text string")
+    long = [words(r, 8) for _ in range(300)]
+    texts = ["\n".join(x) for x in (["same"] * 130, long, long, [words(r, 8), *long], long[:150] + [words(r, 8)] + long[150:], [x for y in long[:90] for x in (y, "")], long[40:], long[:7] * 12, ["", "", long[3], "", long[4]])]
+    data = list(enumerate(texts))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
     got = {x.doc_id: x for x in lines.dedup(df).collect()}
-    assert (got[0].n_removed_lines, got[1].n_removed_lines, got[1].text) == (0, 500, "")
-    # lines before the first boundary of both stay, and none of those after
-    assert 0 < len(got[2].text.split("\n")) < 30 and long.startswith(got[2].text.split("\n", 1)[1])
+    assert {k: x.text for k, x in got.items()} == dict(lines.brute_force(data))
+    assert {x.doc_id: x.text for x in lines.dedup(df, 5).collect()} == dict(lines.brute_force(data, 5))
+    # near copies stay whole where only half of a text may go, whole copies still go
+    half = {x.doc_id: x for x in lines.dedup(df, most=50).collect()}
+    assert half[2].text == "" and half[3].text == texts[3] and half[3].n_removed_lines == 0
+    # a whole copy goes, and of one with a line on top or amid no more than a few lines stay, wherever they are
+    assert (got[1].n_removed_lines, got[2].n_removed_lines, got[2].text) == (0, 300, "")
+    assert all(301 - got[i].n_removed_lines <= 9 for i in (3, 4))
+    # no line is lost from the corpus
+    every, left = ({y for x in t for y in x.split("\n")} for t in (texts, [x.text for x in got.values()]))
+    assert every - {""} == left - {""}
+
+
+def test_boundaries_follow_from_the_lines_around_them():
+    import pyarrow as pa
+
+    r = random.Random(3)
+    text = [words(r, 6) for _ in range(500)]
+    one, two = (lines.Chunks(pa.array(["\n".join(x)], pa.string())) for x in (text, [words(r, 6), *text]))
+    a, b = ({c.text(i) for i in range(len(c.head))} for c in (one, two))
+    assert len(a - b) <= 3 and len(b - a) <= 4 and min(one.tail - one.head) >= 2
 
 
 def test_line_dedup_of_short_passages(spark):
@@ -219,7 +257,7 @@ def test_line_dedup_of_short_passages(spark):
     texts = [(j * 1000 + i, "\n".join([*(words(r, 9) for _ in range(3)), p, *(words(r, 9) for _ in range(3))])) for j in range(2) for i, p in enumerate(passages)]
     got = lines.dedup(spark.createDataFrame(texts, "doc_id long, text string")).where("doc_id >= 1000").agg(F.sum("n_removed_lines"), F.max("n_removed_lines")).first()
     # of five repeated lines amid own text, with no more than those gone
-    assert got[0] >= 0.2 * 5 * 200 and got[1] <= 5
+    assert got[0] >= 0.6 * 5 * 200 and got[1] <= 5
 
 
 def test_html_blocks_and_hosts(spark):
@@ -234,6 +272,45 @@ def test_html_blocks_and_hosts(spark):
     assert html.result(df.limit(0)).collect() == []
 
 
+def test_html_equals_brute_force(spark, monkeypatch):
+    r = random.Random(5)
+    menu, inside, passage = words(r, 14), words(r, 9), words(r, 20)
+    data = []
+    for i in range(60):
+        host = "abc"[i % 3]
+        box = f"<p>{inside}</p>" if i % 3 == 0 or i % 7 == 0 else ""
+        shared = f"<p>{passage}</p>" if i % 5 == 0 else ""
+        open_, close = ("<article>", "</article>") if i % 2 else ("<div>", "</div>")
+        data.append((i, f"http://{host}/{i}", f"<div>{menu} {words(r, 2)}</div>{open_}<p>{words(r, r.randint(1, 40))}</p>{box}{shared}{close}<div>{words(r, 4)}</div>"))
+    data += [(90 + i, "http://a/x", data[0][2]) for i in range(9)] + [(99, None, "<p>x"), (100, "http://d/1", data[1][2]), (101, "http://d/2", data[1][2] + "y")]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(4)
+    want = sorted(html.brute_force(data))
+    got = html.extract(df).select("page_id", "text")
+    assert rows(got) == want
+    # the passage that a fifth of a host's articles share stays, the box that most of host a's have goes
+    texts = dict(want)
+    assert passage in texts[5] and inside not in texts[3] and inside in texts[7] and all(menu not in t for t in texts.values())
+    monkeypatch.setattr(html, "MOST_GRAMS", 0)
+    monkeypatch.setattr(html, "MOST_HOSTS", -1)
+    assert rows(html.extract(df).select("page_id", "text")) == want
+    # dealt out over shards the host still decides; only runs that are rare in a shard aren't counted there
+    monkeypatch.setattr(html, "SHARD", 10)
+    texts = dict(rows(html.extract(df).select("page_id", "text")))
+    assert passage in texts[5] and inside not in texts[3] and inside in texts[7] and all(menu not in t for t in texts.values())
+
+
+def test_malformed_html_takes_linear_time():
+    import time
+
+    n = 1 << 20
+    for piece in ("<", "<a", "<a b=\"", "<!--", "<b>", "</b>", "<i></b>", "<![CDATA[", "<script>", "&", "<p class='", "<div a='x>"):
+        began = time.time()
+        html.blocks("start " + piece * (n // len(piece)))
+        html.blocks(piece + " " * n)
+        assert time.time() - began < 20, piece
+    assert html.blocks("a < b <p>c<1 & d</p><!-- x") == [(0, "a < b"), (0, "c<1 & d")]
+
+
 def test_language_id(spark):
     r = random.Random(2)
     vocab = {"aa": ["the", "thing", "with", "other"], "bb": ["der", "nicht", "schön", "auch"], "cc": ["que", "élève", "dans", "aux"]}
@@ -246,6 +323,14 @@ def test_language_id(spark):
     assert [k for _, k, _ in langid.label_words("the thing der schön", model)] == ["aa", "aa", "bb", "bb"]
     assert {x.lang_pred for x in langid.result(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.result(df.limit(0)).collect() == []
+    # whatever the number of rows, some are taken
+    assert langid.share_below(350, 10**10) * 10**10 // langid._SPACE in (349, 350) and langid.share_below(350, 10) == langid._SPACE
+    # a language of one repeated, very long text is learned, and so is one of very many
+    many = [(i, "αβγ δεζ " * 6000, "gr") for i in range(40)] + [(1000 + i, " ".join([chr(0x4E00 + i)] * 9), f"l{i}") for i in range(40)]
+    odd = spark.createDataFrame(data + many, "doc_id long, text string, lang string")
+    model = langid.train(odd)
+    assert len(model.langs) >= 34 and {"aa", "bb", "cc", "gr"} <= set(model.langs)
+    assert langid.predict(spark.createDataFrame([("δεζ αβγ", 1.0, 1)], "text string, _lowered double, score int"), model).first().lang_pred == "gr"
 
 
 def test_forward_backward_equals_enumeration():
@@ -268,3 +353,15 @@ def test_forward_backward_equals_enumeration():
         want += one / total
         both += two / total
     assert np.allclose(p, want) and np.allclose(pairs, both)
+
+
+def test_extra_columns_with_clashing_names(spark):
+    """Columns named like those that operators use inside stay as they are."""
+    names = ["k1", "k2", "key", "gone", "comp", "h", "n", "place", "_key", "_text", "_lo", "_hi", "_w", "_l", "_host", "_html", "_grams", "_lowered", "__key", "a", "b", "token"]
+    text = "a b c d e f\ng h i j k\nl m n"
+    docs = spark.createDataFrame([(1, text, *names), (2, text, *names), (None, None, *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    model = langid.Model([], np.zeros((1 << langid.WEIGHT_BITS, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
+    pages = docs.withColumn("url", F.lit("http://h/")).withColumn("html", F.col("text"))
+    for got in (substrings.remove(docs), lines.dedup(docs), quality.apply(docs), langid.predict(docs, model), html.extract(pages), jaccard.one_of_each(docs), bpe.encode(docs, PATH, P.PATTERN)):
+        found = got.select(*names).collect()
+        assert len(found) in (2, 3) and all(tuple(x) == tuple(names) for x in found)
