@@ -2,7 +2,7 @@
 
 Every stage is a function of (spark, docs, sf_dir); ``run`` writes each stage's rows as Parquet to the shared
 folder and reads them again for the next, so a lost executor costs a stage at most.  All but the last stage
-return the columns of documents.  Rows that share a doc_id count as one document to the links of stage three.
+return the columns of documents.  Rows are told apart by doc_id and text; rows equal in both are copies of each other.
 """
 
 from __future__ import annotations
@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.llm import bpe, decontaminate, jaccard, langid, lines
-from halyard.llm.common import row_key, stage, table
+from halyard.llm.common import drop_staged, row_key, stage, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Mean marginal under which a text is in no language known here; a quarter is chance for four languages.
 LEAST_SCORE = 0.3
+#: Lines of a chunk at least, and percentage of a text's lines that may go unless all do: shorter chunks and larger cuts
+#: leave pieces of near copies, which the next stage can no longer know as copies; whole it drops them.
+CHUNK_LINES, MOST_LINES = 4, 50
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,16 +28,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks go; so does a text of which they were all."""
-    got = lines.dedup(docs)
+    """Repeated multi-line chunks go; so does a text of which they were all.  Near copies are left to the next stage."""
+    got = lines.dedup(docs, CHUNK_LINES, MOST_LINES)
     return got.where("n_removed_lines = 0 or trim(text) != ''").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the smallest doc_id stays."""
-    linked = jaccard.join(docs, size=5, percent=80)
-    gone = linked.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near copies (five-word shingles, similarity 0.8) one row of the smallest doc_id stays."""
+    return jaccard.one_of_each(docs.select(*COLUMNS), size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, function in STAGES[:-1]:
         docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            drop_staged(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
