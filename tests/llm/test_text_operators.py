@@ -365,3 +365,24 @@ def test_extra_columns_with_clashing_names(spark):
     for got in (substrings.remove(docs), lines.dedup(docs), quality.apply(docs), langid.predict(docs, model), html.extract(pages), jaccard.one_of_each(docs), bpe.encode(docs, PATH, P.PATTERN)):
         found = got.select(*names).collect()
         assert len(found) in (2, 3) and all(tuple(x) == tuple(names) for x in found)
+
+
+def test_steps_bound_the_memory_of_a_worker():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from halyard.llm import common
+
+    r = random.Random(9)
+    texts = [words(r, 400).replace(" ", "\n", 40) for _ in range(2500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    assert batch.nbytes > 3 << 20
+    model = langid.fit(texts[:4], ["a", "b", "c", "d"], epochs=1)
+    for run in (model.predict, lambda col: jaccard.Sets(col, 5), lambda col: lines.Chunks(col, 4)):
+        tracemalloc.start()
+        n = sum(part.num_rows for part in common.steps(batch) if run(part.column("text")))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n == len(texts)
+        assert most < 80 << 20, (run, most >> 20)
