@@ -61,6 +61,50 @@ def test_packed_blocks_equal_broadcast(spark, data, monkeypatch):
     assert sorted(knn.blocks(q, base, 3).collect()) == sorted(one)
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("score", [None, lambda x, q, metric: knn.scores(x, q, metric)])
+def test_long_neighbour_lists_are_ranked_where_they_are_found(spark, data, monkeypatch, score):
+    """A task passes over all rows for a block of queries: its ranks are final, no pair is shuffled or sorted by Spark."""
+    base, q = frame(spark, data.vectors).repartition(3), frame(spark, data.vectors[:50]).withColumnRenamed("vid", "qid")
+    want = {(i, j) for i in range(50) for j in range(600) if i != j}
+    monkeypatch.setattr(knn, "KEPT_SHARED", 10_000)
+    monkeypatch.setattr(knn, "PACKED_ROWS", 100)
+    monkeypatch.setattr(knn, "KEPT", 4_000)
+    all_ = knn.blocks(q, base, 100_000, "euclidean", exclude_self=True, score=score)
+    assert "Window" not in plan(all_) and {(r.qid, r.vid) for r in all_.collect()} == want
+    some = knn.blocks(q, base, 300, "euclidean", exclude_self=True, score=score)
+    monkeypatch.setattr(knn, "KEPT_SHARED", 1 << 20)
+    shared = sorted(knn.blocks(q, base, 300, "euclidean", exclude_self=True, score=score).collect())
+    assert "Window" not in plan(some) and sorted(some.collect()) == shared and len(shared) == 15_000
+    # parts of the rows are ranked apart, then together
+    monkeypatch.setattr(knn, "KEPT_SHARED", 10_000)
+    monkeypatch.setattr(knn, "PART_BYTES", 20_000)
+    assert sorted(knn.blocks(q, base, 300, "euclidean", exclude_self=True, score=score).collect()) == shared
+
+
+@pytest.mark.parametrize("k", [5, 300])
+@pytest.mark.parametrize("kind", ["int64", "string"])
+def test_what_a_search_holds_does_not_grow_with_the_rows(monkeypatch, k, kind):
+    import pyarrow as pa
+
+    monkeypatch.setattr(knn, "OUT_ROWS", 64)
+    g = np.random.default_rng(9)
+    # few values, so many ties
+    x, q = (g.integers(0, 3, (n, 4)).astype(np.float32) for n in (20_000, 7))
+    ids, asked = pa.array(range(len(x))).cast(kind), pa.array(range(7)).cast(kind)
+    near = knn.Nearest(asked, q, k, "euclidean", True, knn.DIGITS)
+    for lo in range(0, len(x), 500):
+        near.meet(ids[lo : lo + 500], x[lo : lo + 500])
+        assert sum(len(r) for r, _, _ in near.held) <= max(64, 7 * k * 7 // 4) + 7 * 500
+    got = [(r["qid"], r["vid"], r["rk"]) for batch in near.found() for r in batch.to_pylist()]
+    names, d = ids.to_pylist(), np.round(knn.scores(x, q, "euclidean"), 6)
+    want = [(names[i], names[j], n) for i in range(7) for n, j in enumerate(sorted((j for j in range(len(x)) if j != i), key=lambda j: (d[i, j], names[j]))[:k], 1)]
+    assert got == want
+
+
 def test_search_edges(spark):
     base = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, None), (None, [1.0, 1.0])], "vid long, vec array<float>")
     q = spark.createDataFrame([(0, [1.0, 0.0])], "qid long, vec array<float>")
