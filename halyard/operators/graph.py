@@ -37,10 +37,10 @@ def knn_graph(base: DataFrame, m: int, metric: str = "cosine", vid: str = "vid",
 
 
 def degree_stats(edges: DataFrame, nodes: DataFrame, vid: str = "vid") -> DataFrame:
-    """nodes, avg_out, max_out, max_in: one row; 0 where there are no nodes."""
-    out = edges.groupBy(F.col("src").alias(vid)).agg(F.count(F.lit(1)).alias("o"))
-    back = edges.groupBy(F.col("dst").alias(vid)).agg(F.count(F.lit(1)).alias("i"))
-    all_ = nodes.select(vid).join(out, vid, "left").join(back, vid, "left").fillna(0, ["o", "i"])
+    """nodes, avg_out, max_out, max_in: one row; 0 where there are no nodes.  The edges are read once."""
+    end = lambda c, o: F.struct(F.col(c).alias(vid), F.lit(o).alias("o"), F.lit(1 - o).alias("i"))
+    degrees = edges.select(F.explode(F.array(end("src", 1), end("dst", 0))).alias("e")).groupBy(F.col(f"e.{vid}").alias(vid)).agg(F.sum("e.o").alias("o"), F.sum("e.i").alias("i"))
+    all_ = nodes.select(vid).join(degrees, vid, "left").fillna(0, ["o", "i"])
     zero = lambda c: F.coalesce(c, F.lit(0))
     return all_.agg(F.count(F.lit(1)).alias("nodes"), zero(F.round(F.avg("o"), 6)).cast("double").alias("avg_out"), zero(F.max("o")).alias("max_out"), zero(F.max("i")).alias("max_in"))
 

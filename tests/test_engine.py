@@ -105,6 +105,16 @@ def test_what_a_search_holds_does_not_grow_with_the_rows(monkeypatch, k, kind):
     assert got == want
 
 
+def test_degrees_take_one_pass_over_the_edges(spark, data):
+    base = frame(spark, data.vectors)
+    edges = graph.knn_graph(base, 4)
+    one = graph.degree_stats(edges, base)
+    assert plan(one).count("MapInArrow") == plan(edges).count("MapInArrow")
+    into = np.bincount([r.dst for r in edges.collect()], minlength=600)
+    assert one.first().asDict() == {"nodes": 600, "avg_out": 4.0, "max_out": 4, "max_in": int(into.max())}
+    assert graph.degree_stats(edges.limit(0), base.limit(2)).first().asDict() == {"nodes": 2, "avg_out": 0.0, "max_out": 0, "max_in": 0}
+
+
 def test_search_edges(spark):
     base = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, None), (None, [1.0, 1.0])], "vid long, vec array<float>")
     q = spark.createDataFrame([(0, [1.0, 0.0])], "qid long, vec array<float>")
