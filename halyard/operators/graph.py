@@ -16,10 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from halyard.functions import kernels as K
+from halyard.functions.product_quant import matrix
 from halyard.functions.rng import DEFAULT_SEED, level
 from halyard.operators import knn
 from halyard.operators.knn import clamp, scores, unit
@@ -96,6 +99,8 @@ class Hnsw:
         self.at: dict = {}
         self.x = np.zeros((0, 0), np.float32)
         self.n, self.entry, self.top = 0, -1, -1
+        #: Distances of the query that is searched for to all nodes, where they were computed together.
+        self.far: list[float] | None = None
 
     def _grow(self, dim: int) -> None:
         if self.n == len(self.x):
@@ -111,6 +116,8 @@ class Hnsw:
         return unit(v[None])[0] if self.metric == "cosine" else v
 
     def _dist(self, q: np.ndarray, nodes: list[int]) -> list[float]:
+        if self.far is not None:
+            return [self.far[n] for n in nodes]
         return scores(self.x[nodes], q[None], self.metric)[0].tolist()
 
     def _descend(self, q: np.ndarray, node: int, lvl: int, hops: list | None = None) -> int:
@@ -264,6 +271,21 @@ class Hnsw:
             trace.append({"level": 0, "entry": self.ids[node], "visited": seen, "hops": hops})
         return [(self.ids[n], d) for d, n in near[:k]]
 
+    def searches(self, q: np.ndarray, k: int, ef: int | None = None, ok=None, traced: bool = False) -> Iterator[tuple[list[tuple], list | None]]:
+        """What ``search`` finds for each row of ``q``, and its trace.  The distances of a few queries to all nodes of a shard of up to
+        BULK_ROWS rows come from one matrix product."""
+        for lo in range(0, len(q), 64):
+            part = q[lo : lo + 64]
+            far = scores(self.x[: self.n], np.stack([self.prepared(v) for v in part]), self.metric) if 0 < self.n <= BULK_ROWS else [None] * len(part)
+            for v, row in zip(part, far, strict=True):
+                layers: list | None = [] if traced else None
+                self.far = None if row is None else row.tolist()
+                try:
+                    found = self.search(v, k, ef, ok, layers)
+                finally:
+                    self.far = None
+                yield found, layers
+
     def compacted(self) -> Hnsw:
         """A fresh graph of the live rows in order of insertion."""
         out = Hnsw(self.metric, self.m, self.efc, self.seed, self.extend)
@@ -338,50 +360,82 @@ def build(base: DataFrame, metric: str = "cosine", m: int = 16, ef_construction:
     return rows.groupBy("shard").applyInPandas(one, "shard int, rows long, graph binary")
 
 
-def _asked(graphs: DataFrame, queries: list[tuple] | DataFrame) -> DataFrame:
-    """``graphs`` with the queries (qid, vec) of each row: a set that fits a block goes along with the code, a larger one is cut
-    into blocks, rows of a table that meet every shard."""
+def _over(graphs: DataFrame, queries: list[tuple] | DataFrame, schema: str, work) -> DataFrame:
+    """``work(shard, graph, qids, vectors, fields)`` for each shard and the queries: a set that fits a block is broadcast, a larger one
+    is cut into blocks, rows of a table that meet every shard.  What is made is sent on in batches as it is made."""
+    kinds = T.StructType.fromDDL(schema)
+    fields = pa.schema([pa.field(f.name, knn._arrow(f.dataType)) for f in kinds])
     held = queries if isinstance(queries, list) else knn._collected(queries, "vec")
     if held is not None:
-        rows = [(0, [(r[0], [float(x) for x in r[1]]) for r in held])]
-        kind = "array<struct<qid long, vec array<float>>>" if isinstance(queries, list) else f"array<struct<qid {dict(queries.dtypes)['qid']}, vec array<float>>>"
-        return graphs.crossJoin(F.broadcast(graphs.sparkSession.createDataFrame(rows, f"block int, asked {kind}"))).drop("block")
+        asked = pa.array([r[0] for r in held], fields.field("qid").type), [np.asarray(r[1], np.float32) for r in held]
+        shared = graphs.sparkSession.sparkContext.broadcast(asked)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    yield from work(batch.column("shard")[i].as_py(), Hnsw.loads(batch.column("graph")[i].as_py()), *shared.value, fields)
+
+        return graphs.select("shard", "graph").mapInArrow(run, kinds)
     size = queries.agg(F.sum(F.size("vec").cast("long") * 4 + 16)).first()[0]
     cut = queries.groupBy(F.pmod(F.xxhash64("qid"), F.lit(-(-size // knn.BLOCK_BYTES))).alias("block")).agg(F.collect_list(F.struct("qid", "vec")).alias("asked"))
-    return graphs.crossJoin(cut.drop("block"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asked = batch.column("asked")[i].values
+                q = matrix(asked.field("vec")).astype(np.float32)
+                yield from work(batch.column("shard")[i].as_py(), Hnsw.loads(batch.column("graph")[i].as_py()), asked.field("qid"), q, fields)
+
+    return graphs.select("shard", "graph").crossJoin(cut.drop("block")).mapInArrow(meet, kinds)
 
 
 def search(graphs: DataFrame, queries: list[tuple] | DataFrame, k: int, ef: int | None = None, ok=None, kind: str = "long") -> DataFrame:
     """qid, vid, dist, rk: every shard is searched for every query (qid, vec); the best of all shards are ranked."""
     qid = "long" if isinstance(queries, list) else dict(queries.dtypes)["qid"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for data, asked in zip(pdf["graph"], pdf["asked"], strict=True):
-                g = Hnsw.loads(data)
-                out = [(q["qid"], id_, round(d, knn.DIGITS) + 0.0) for q in asked for id_, d in g.search(q["vec"], k, ef, ok)]
-                yield pd.DataFrame(out, columns=["qid", "vid", "dist"])
+    def work(_, g: Hnsw, qids: pa.Array, q, fields: pa.Schema) -> Iterator[pa.RecordBatch]:
+        step = max(1, knn.OUT_ROWS // max(1, k))
+        for lo in range(0, len(q), step):
+            out = [(i, id_, round(d, knn.DIGITS) + 0.0) for i, (found, _) in enumerate(g.searches(q[lo : lo + step], k, ef, ok), lo) for id_, d in found]
+            at, ids, d = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(at, pa.int64())), pa.array(ids, fields.field("vid").type), pa.array(d, pa.float64())], schema=fields)
 
-    return knn._ranked(_asked(graphs, queries).select("graph", "asked").mapInPandas(run, f"qid {qid}, vid {kind}, dist double"), k)
+    return knn._ranked(_over(graphs, queries, f"qid {qid}, vid {kind}, dist double", work), k)
 
 
 def trace(graphs: DataFrame, queries: list[tuple] | DataFrame, k: int, ef: int | None = None, kind: str = "long") -> DataFrame:
     """qid, shard, level, entry, visited, hops (array of from, to, dist) of each layer of each search."""
     qid = "long" if isinstance(queries, list) else dict(queries.dtypes)["qid"]
-    schema = f"qid {qid}, shard int, level int, entry {kind}, visited long, hops array<struct<from {kind}, to {kind}, dist double>>"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for shard, data, asked in zip(pdf["shard"], pdf["graph"], pdf["asked"], strict=True):
-                g, out = Hnsw.loads(data), []
-                for q in asked:
-                    layers: list = []
-                    g.search(q["vec"], k, ef, trace=layers)
-                    for t in layers:
-                        out.append((q["qid"], shard, t["level"], t["entry"], t["visited"], [{"from": g.ids[a], "to": g.ids[b], "dist": d} for a, b, d in t["hops"]]))
-                yield pd.DataFrame(out, columns=["qid", "shard", "level", "entry", "visited", "hops"])
-
-    return _asked(graphs, queries).select("shard", "graph", "asked").mapInPandas(run, schema)
+    schema = f"qid {qid}, shard int, level int, entry {kind}, visited long, hops array<struct<from: {kind}, to: {kind}, dist: double>>"
+
+    def work(shard: int, g: Hnsw, qids: pa.Array, q, fields: pa.Schema) -> Iterator[pa.RecordBatch]:
+        ids = pa.array(g.ids, fields.field("entry").type)
+        hop = fields.field("hops").type
+
+        def made(layers: list[tuple[int, dict]]) -> pa.RecordBatch:
+            ends = np.cumsum([0] + [len(t["hops"]) for _, t in layers])
+            a, b, d = zip(*(h for _, t in layers for h in t["hops"]), strict=True) if ends[-1] else ((), (), ())
+            each = pa.StructArray.from_arrays([ids.take(pa.array(a, pa.int64())), ids.take(pa.array(b, pa.int64())), pa.array(d, pa.float64())], fields=list(hop.value_type))
+            hops = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each).cast(hop)
+            return pa.RecordBatch.from_arrays(
+                [
+                    qids.take(pa.array([i for i, _ in layers])), pa.array([shard] * len(layers), pa.int32()), pa.array([t["level"] for _, t in layers], pa.int32()),
+                    pa.array([t["entry"] for _, t in layers], ids.type), pa.array([t["visited"] for _, t in layers], pa.int64()), hops,
+                ],
+                schema=fields,
+            )
+
+        layers, waiting = [], 0
+        for i, (_, got) in enumerate(g.searches(q, k, ef, traced=True)):
+            layers += [(i, t) for t in got]
+            waiting += sum(len(t["hops"]) for t in got)
+            if waiting >= knn.OUT_ROWS:
+                yield made(layers)
+                layers, waiting = [], 0
+        if layers:
+            yield made(layers)
+
+    return _over(graphs, queries, schema, work)
 
 
 def visited(traced: DataFrame) -> DataFrame:

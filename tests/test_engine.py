@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from halyard.functions import kernels as K
 from halyard.functions import product_quant as PQ
@@ -187,6 +188,29 @@ def test_sharded_search(spark, data):
     assert graph.trace(graphs, [(0, data.queries[0].tolist())], 3).where("level = 0").count() == 3
 
 
+@pytest.mark.parametrize("work", ["trace", "search"])
+def test_searches_of_graphs_are_sent_on_as_they_are_made(spark, data, monkeypatch, work):
+    import pyarrow as pa
+
+    base = frame(spark, data.vectors[:200])
+    graphs = graph.build(base, "euclidean", 8, 40, 1).cache()
+    asked = [(i, v.tolist()) for i, v in enumerate(data.queries[:30])]
+    f = getattr(graph, work)
+    want = sorted(f(graphs, asked, 5, 20).collect())
+    monkeypatch.setattr(knn, "OUT_ROWS", 100)
+    sizes, over = [], graph._over
+    monkeypatch.setattr(graph, "_over", lambda graphs, queries, schema, work: sizes.append((schema, work)) or over(graphs, queries, schema, work))
+    assert sorted(f(graphs, asked, 5, 20).collect()) == want
+    schema, work = sizes[0]
+    fields = pa.schema([(n, knn._arrow(t.dataType)) for n, t in zip(T.StructType.fromDDL(schema).names, T.StructType.fromDDL(schema), strict=True)])
+    g = graph.Hnsw.loads(bytes(graphs.first().graph))
+    batches = list(work(0, g, pa.array(range(30)), [np.array(v) for _, v in asked], fields))
+    held = [sum(len(h) for h in b.column("hops")) if "hops" in fields.names else b.num_rows for b in batches]
+    assert len(batches) >= 2 and max(held) <= 100 + 3 * 200
+    one = [g.search(v, 5, 20) for _, v in asked]
+    assert [found for found, _ in g.searches(np.array([v for _, v in asked], np.float32), 5, 20)] == [[(i, pytest.approx(d)) for i, d in x] for x in one]
+
+
 def test_gate_and_state_follow_a_mirror(spark):
     r = random.Random(5)
     ops = [(i + (5.5 if r.random() < 0.1 else 0.0), i, f"k{r.randrange(40)}", "delete" if r.random() < 0.2 else "upsert", r.random()) for i in range(2000)]
