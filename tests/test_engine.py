@@ -211,6 +211,25 @@ def test_searches_of_graphs_are_sent_on_as_they_are_made(spark, data, monkeypatc
     assert [found for found, _ in g.searches(np.array([v for _, v in asked], np.float32), 5, 20)] == [[(i, pytest.approx(d)) for i, d in x] for x in one]
 
 
+def test_training_and_table_sums_work_in_steps(monkeypatch):
+    g = np.random.default_rng(4)
+    x = g.normal(size=(5000, 2)).astype(np.float32)
+    whole = PQ._kmeans(x, 64, 3)
+    import tracemalloc
+
+    tracemalloc.start()
+    monkeypatch.setattr(PQ, "STEP_ROWS", 100)
+    steps = PQ._kmeans(x, 64, 3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all rows by all centroids would be 2.5 MB
+    assert np.allclose(whole, steps) and most < 1 << 20
+    v = g.normal(size=(300, 8)).astype(np.float32)
+    book = PQ.Codebook(PQ.segments(8, 4), [v[:16, o : o + 2] for o in range(0, 8, 2)])
+    for metric in K.METRICS:
+        assert np.allclose(book.between(v[:9], book.encode(v), metric), np.stack([book.distances(q, book.encode(v), metric) for q in v[:9]]))
+
+
 def test_gate_and_state_follow_a_mirror(spark):
     r = random.Random(5)
     ops = [(i + (5.5 if r.random() < 0.1 else 0.0), i, f"k{r.randrange(40)}", "delete" if r.random() < 0.2 else "upsert", r.random()) for i in range(2000)]
