@@ -64,6 +64,23 @@ def select_diverse(order: list[int], to_base: np.ndarray, between, m: int) -> li
     return kept
 
 
+def diverse(x: np.ndarray, d: np.ndarray, m: int, metric: str) -> np.ndarray:
+    """What ``select_diverse`` keeps of the candidates ``x`` (bases x candidates x dimensions), in order of their distances ``d``
+    to their base, for all bases together."""
+    wide = x.astype(np.float64)
+    between = wide @ wide.transpose(0, 2, 1)
+    if metric == "euclidean":
+        square = (wide**2).sum(axis=2)
+        between = np.sqrt(np.maximum(square[:, :, None] - 2 * between + square[:, None], 0))
+    else:
+        between = 1 - between if metric == "cosine" else -between
+    kept, closest = np.zeros(d.shape, bool), np.full(d.shape, np.inf)
+    for i in range(d.shape[1]):
+        kept[:, i] = (closest[:, i] >= d[:, i]) & (kept.sum(axis=1) < m)
+        closest = np.where(kept[:, i, None], np.minimum(closest, between[:, i]), closest)
+    return kept
+
+
 def diverse_graph(base: DataFrame, candidates: int, m: int, metric: str = "cosine", vid: str = "vid", vec: str = "vec") -> DataFrame:
     """src, dst, dist, pos: the ``candidates`` nearest of each row, thinned to at most m diverse ones."""
     edges = knn_graph(base, candidates, metric, vid, vec)
@@ -71,18 +88,24 @@ def diverse_graph(base: DataFrame, candidates: int, m: int, metric: str = "cosin
     rows = with_vec.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dist", "dst", "v"))).alias("near"))
     kind = dict(base.dtypes)[vid]
 
-    def thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for src, near in zip(pdf["src"], pdf["near"], strict=True):
-                x = np.array([e["v"] for e in near], np.float32)
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                near = part.column("near")
+                each, size = near.flatten(), near.value_lengths().to_numpy()
+                x, d = matrix(each.field("v")).astype(np.float32), each.field("dist").to_numpy()
                 x = unit(x) if metric == "cosine" else x
-                d = np.array([e["dist"] for e in near])
-                kept = select_diverse(list(range(len(near))), d, lambda i, kept, x=x: scores(x[kept], x[i : i + 1], metric)[0], m)
-                out += [(src, near[i]["dst"], float(d[i]), p) for p, i in enumerate(kept, 1)]
-            yield pd.DataFrame(out, columns=["src", "dst", "dist", "pos"])
-
-    return rows.mapInPandas(thin, f"src {kind}, dst {kind}, dist double, pos long")
+                start, keep = np.cumsum(size) - size, np.zeros(len(d), bool)
+                for n in np.unique(size):
+                    at = start[size == n, None] + np.arange(n)
+                    keep[at] = diverse(x[at], d[at], m, metric)
+                row = np.repeat(np.arange(len(size)), size)[keep]
+                first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(size)))])
+                pos = np.arange(len(row)) - first[row] + 1
+                yield pa.RecordBatch.from_arrays([part.column("src").take(pa.array(row)), each.field("dst").filter(pa.array(keep)), pa.array(d[keep]), pa.array(pos)], names=["src", "dst", "dist", "pos"])
+
+    return rows.mapInArrow(thin, f"src {kind}, dst {kind}, dist double, pos long")
 
 
 class Hnsw:

@@ -116,6 +116,22 @@ def test_degrees_take_one_pass_over_the_edges(spark, data):
     assert graph.degree_stats(edges.limit(0), base.limit(2)).first().asDict() == {"nodes": 2, "avg_out": 0.0, "max_out": 0, "max_in": 0}
 
 
+@pytest.mark.parametrize("metric", K.METRICS)
+def test_diverse_selection_of_many_bases_equals_one_by_one(spark, data, metric):
+    base = frame(spark, data.vectors[:120])
+    rows = graph.diverse_graph(base, 12, 5, metric)
+    assert "MapInPandas" not in plan(rows)
+    edges = {}
+    for r in sorted(graph.knn_graph(base, 12, metric).collect(), key=lambda r: r.pos):
+        edges.setdefault(r.src, []).append((r.dst, r.dist))
+    x, want = knn.unit(data.vectors) if metric == "cosine" else data.vectors, set()
+    for src, near in edges.items():
+        y, d = x[[j for j, _ in near]], np.array([v for _, v in near])
+        kept = graph.select_diverse(list(range(len(near))), d, lambda i, kept, y=y: knn.scores(y[kept], y[i : i + 1], metric)[0], 5)
+        want |= {(src, near[i][0], near[i][1], p) for p, i in enumerate(kept, 1)}
+    assert {tuple(r) for r in rows.collect()} == want
+
+
 def test_search_edges(spark):
     base = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, None), (None, [1.0, 1.0])], "vid long, vec array<float>")
     q = spark.createDataFrame([(0, [1.0, 0.0])], "qid long, vec array<float>")
